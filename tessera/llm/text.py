@@ -40,5 +40,5 @@ def n_words(text: Column) -> Column:
 
 def word_array(text: Column) -> Column:
     """Words as an array<string>; empty for null or blank text."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
-    return F.filter(parts, lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
