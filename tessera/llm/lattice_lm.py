@@ -2,7 +2,9 @@
 
 The pieces of an existing vocabulary, weighted by unigram log-probabilities, give every word a
 lattice of segmentations; a forward recursion in log space returns the marginal probability of
-the word over all of them. The vocabulary is fixed; its unigram scores are fitted by expectation
+the word over all of them. A word of the training documents has one more edge, itself, weighed by
+its discounted relative frequency; the discounts' mass weighs the segmentations into pieces
+(absolute discounting), so the probabilities of all texts still sum to one at most. The vocabulary is fixed; its unigram scores are fitted by expectation
 maximization over the word counts of all training documents, in rounds of distributed expected
 counts. Each word is weighed once, in the table of words; documents gather their words' scores in
 chunks, through the vocabulary of a chunk, so that a common word costs one row per chunk.
@@ -22,7 +24,8 @@ from tessera.llm.near_dups import mix
 from tessera.session import cut
 
 FOLDS, HELD_OUT = 5, 1
-ROUNDS = 3
+ROUNDS = 4
+LEAST = 0.01
 CHUNK_DOCS = 2048
 CHUNK_MB = 8
 END = ""  #: the end of a text, as a word
@@ -51,10 +54,7 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         self.logp = logp
-        power = np.ones(LONGEST + 1, np.uint64)
-        for i in range(1, LONGEST + 1):
-            power[i] = power[i - 1] * _U(0x100000001B3)
-        self.power = power
+        self.power = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(LONGEST + 1)], np.uint64)
         keys = self._hash_pieces(pieces)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order
@@ -214,14 +214,21 @@ def _expect(pieces: list[bytes], logp: np.ndarray):
     return run
 
 
-def _score_words(pieces: list[bytes], logp: np.ndarray, end_logp: float):
+def _score_words(pieces: list[bytes], logp: np.ndarray, end_logp: float, n: int, discount: float, rest: float):
+    """``discount``: taken off each word's count; ``rest``: the mass that segmentations into pieces share."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(pieces, logp)
         for batch in batches:
             is_end = (batch["word"] == END).to_numpy()
             words = [spelled(w) for w in batch["word"]]
             got = weigh_all(lattice, words) if words else np.zeros(0)
-            yield batch.assign(lm=np.where(is_end, end_logp, got) / math.log(10))
+            lm = np.where(is_end, end_logp, got)
+            if n:
+                own = np.maximum(0.0, batch["c"].to_numpy(float) - discount) / n
+                with np.errstate(divide="ignore"):
+                    lm = np.logaddexp(np.log(own), math.log(rest) + lm)
+            yield batch.assign(lm=lm / math.log(10))
 
     return run
 
@@ -229,7 +236,7 @@ def _score_words(pieces: list[bytes], logp: np.ndarray, end_logp: float):
 def fit_pieces(words: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Natural log-probabilities of pieces and of the end, from (word, c) training counts.
 
-    Expectation maximization with half a count added to every piece, so that each text has a
+    Expectation maximization with ``LEAST`` added to the count of every piece, so that each text has a
     probability; pieces, ends and nothing else share the whole mass.
     """
     lengths = np.fromiter(map(len, pieces), float, len(pieces))
@@ -239,8 +246,8 @@ def fit_pieces(words: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> t
     trained = words.where("c > 0").select("word", "c")
     for _ in range(rounds):
         got = trained.mapInPandas(_expect(pieces, logp), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # one row per piece at most
-        counts = np.full(len(pieces), 0.5)
-        ends = 0.5
+        counts = np.full(len(pieces), LEAST)
+        ends = LEAST
         for r in got:
             if r["piece"] < 0:
                 ends += r["n"]
@@ -283,10 +290,11 @@ def score_documents(docs: DataFrame, pieces: list[bytes] | None = None, rounds:
     split = keyed.repartition(chunks, "chunk").sortWithinPartitions("chunk")
     local = cut(split.select("chunk", "held_out", "text").mapInPandas(_count_words, "chunk long, word string, c long"))
     words = cut(local.groupBy("word").agg(F.sum("c").alias("c")))
-    sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
     logp, end = fit_pieces(words, pieces, rounds)
-    weighed = words.mapInPandas(_score_words(pieces, logp, end), "word string, c long, lm double")
+    discount = min(0.95, max(0.05, (sums["once"] or 0) / max(1, (sums["once"] or 0) + 2 * (sums["twice"] or 0))))
+    weighed = words.mapInPandas(_score_words(pieces, logp, end, n, discount, discount * v / max(1, n)), "word string, c long, lm double")
     weighed = weighed.withColumn("base", F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))))
     vocab = local.select("chunk", "word").join(weighed, "word").select("chunk", "word", "c", "base", "lm")
     scored = keyed.groupBy("chunk").cogroup(vocab.groupBy("chunk")).applyInPandas(_score_chunk, _SCORED)
