@@ -15,7 +15,7 @@ from tessera.llm.near_dups import near_duplicates
 from tessera.llm.packing import best_fit_pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secrets import redact, scan_secrets
-from tessera.llm.text import word_array
+from tessera.llm.text import n_words, word_array
 from tessera.session import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -46,14 +46,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words: whole copies, then a leading part.
 
     A document with ``taken`` words gives taken div size copies and, for the rest, a row with its
-    first taken mod size words. Copies share the doc_id.
+    first taken mod size words. Copies share the doc_id. Rows without a doc_id go by their text and
+    source; rows of one key take the same share.
     """
-    sizes = mix_sources(docs).where("taken > 0").select("doc_id", "size", "taken").distinct()
-    held = docs.join(sizes, "doc_id")
-    shares = F.expr("transform(sequence(0, cast((taken - 1) div size as int)), k -> least(size, taken - k * size))")
+    key = F.coalesce(F.col("doc_id"), -1 - F.abs(F.xxhash64("text", "source") % 2**62))
+    keyed = docs.withColumn("_key", key)
+    taken = mix_sources(keyed.select(F.col("_key").alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias("_key")).agg(F.max("taken").alias("_taken"))
+    held = keyed.join(taken.where("_taken > 0"), "_key").withColumn("_size", n_words(F.col("text"))).where("_size > 0")
+    shares = F.expr("transform(sequence(0, cast((least(_taken, 2 * _size) - 1) div _size as int)), k -> least(_size, least(_taken, 2 * _size) - k * _size))")
     rows = held.withColumn("_share", F.explode(shares))
     words = F.array_join(F.slice(word_array(F.col("text")), 1, F.col("_share").cast("int")), " ")
-    part = F.when(F.col("_share") == F.col("size"), F.col("text")).otherwise(words)
+    part = F.when(F.col("_share") == F.col("_size"), F.col("text")).otherwise(words)
     return rows.withColumn("text", part).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
