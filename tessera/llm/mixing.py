@@ -105,6 +105,7 @@ def mix_sources(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     placed = placed_documents(sized, targets)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     got = F.greatest(F.lit(0).cast("long"), F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("take")) - F.greatest(F.col("at"), F.col("block") * block))
-    taken = parts.join(slots, ["idx", "block"], "left").groupBy("doc_id", "idx", "at", "size", "source_size", "target").agg(F.sum(F.coalesce(got, F.lit(0).cast("long"))).alias("taken"))
+    drawn = parts.join(slots, ["idx", "block"], "left").na.fill(0, ["take"])  # least() would skip a null
+    taken = drawn.groupBy("doc_id", "idx", "at", "size", "source_size", "target").agg(F.sum(got).alias("taken"))
     blank = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return taken.select("doc_id", "size", "source_size", "target", "taken").unionByName(blank)

@@ -264,13 +264,13 @@ def extract(page: Node, template: list | None) -> str:
     else:
         weight: dict[int, int] = {}
         for p, t in found:
-            for n in p[:-1] or p:
+            for n in p[:-1] or (page,):
                 weight[id(n)] = weight.get(id(n), 0) + len(t)
         total = sum(len(t) for _, t in found)
         # the deepest element that still holds most of the text
         best, depth = None, -1
         for p, _ in found:
-            for d, n in enumerate(p):
+            for d, n in enumerate(p[:-1]):
                 if weight.get(id(n), 0) >= 0.7 * total and d > depth:
                     best, depth = n, d
         keep = [t for p, t in found if best is None or any(n is best for n in p)]
