@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.near_dups import mix
-from tessera.session import cut
+from tessera.session import cut_table
 
 FOLDS, HELD_OUT = 5, 1
 ROUNDS = 4
 LEAST = 0.01
-CHUNK_DOCS = 2048
-CHUNK_MB = 8
+CHUNK_DOCS = 8192
+CHUNK_MB = 24
 END = ""  #: the end of a text, as a word
 LONGEST = 16  #: bytes; longer pieces are not in the lattice
 LONG_WORD = 256  #: bytes; longer words are weighed in stretches of this length
@@ -261,17 +261,21 @@ def fit_pieces(words: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> t
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_chunk(keys, docs: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
-    known = dict(zip((w.encode("utf-8", "surrogatepass") for w in vocab["word"]), range(len(vocab)), strict=True))
-    has, base, lm = (vocab["c"] > 0).to_numpy(), vocab["base"].to_numpy(), vocab["lm"].to_numpy()
-    rows = []
-    for doc_id, held_out, text in zip(docs["doc_id"].astype("Int64"), docs["held_out"], docs["text"], strict=True):
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        at = np.fromiter(map(known.__getitem__, [*words, b""]), np.int64, len(words) + 1)
-        rows.append((doc_id, held_out, len(at), int(has[at].sum()), float(base[at].sum()), float(lm[at].sum())))
-    out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+def _score_chunk(mass: float):
+    def run(keys, docs: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
+        known = dict(zip((w.encode("utf-8", "surrogatepass") for w in vocab["word"]), range(len(vocab)), strict=True))
+        counts, lm = vocab["c"].to_numpy(float), vocab["lm"].to_numpy(float)
+        has, base = counts > 0, np.log10((counts + 0.5) / mass)
+        rows = []
+        for doc_id, held_out, text in zip(docs["doc_id"].astype("Int64"), docs["held_out"], docs["text"], strict=True):
+            words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+            at = np.fromiter(map(known.__getitem__, [*words, b""]), np.int64, len(words) + 1)
+            rows.append((doc_id, held_out, len(at), int(has[at].sum()), float(base[at].sum()), float(lm[at].sum())))
+        out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        out["doc_id"] = out["doc_id"].astype("Int64")
+        return out
+
+    return run
 
 
 def score_documents(docs: DataFrame, pieces: list[bytes] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -288,14 +292,13 @@ def score_documents(docs: DataFrame, pieces: list[bytes] | None = None, rounds:
     chunks = max(1, -(-size["n"] // CHUNK_DOCS), -(-(size["b"] or 0) // (CHUNK_MB << 20)))
     keyed = held.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     split = keyed.repartition(chunks, "chunk").sortWithinPartitions("chunk")
-    local = cut(split.select("chunk", "held_out", "text").mapInPandas(_count_words, "chunk long, word string, c long"))
-    words = cut(local.groupBy("word").agg(F.sum("c").alias("c")))
+    local = cut_table(split.select("chunk", "held_out", "text").mapInPandas(_count_words, "chunk long, word string, c long"))
+    words = cut_table(local.groupBy("word").agg(F.sum("c").alias("c")))
     sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
     logp, end = fit_pieces(words, pieces, rounds)
     discount = min(0.95, max(0.05, (sums["once"] or 0) / max(1, (sums["once"] or 0) + 2 * (sums["twice"] or 0))))
     weighed = words.mapInPandas(_score_words(pieces, logp, end, n, discount, discount * v / max(1, n)), "word string, c long, lm double")
-    weighed = weighed.withColumn("base", F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))))
-    vocab = local.select("chunk", "word").join(weighed, "word").select("chunk", "word", "c", "base", "lm")
-    scored = keyed.groupBy("chunk").cogroup(vocab.groupBy("chunk")).applyInPandas(_score_chunk, _SCORED)
+    vocab = local.select("chunk", "word").join(weighed, "word").select("chunk", "word", "c", F.col("lm").cast("float").alias("lm"))
+    scored = keyed.groupBy("chunk").cogroup(vocab.groupBy("chunk")).applyInPandas(_score_chunk(n + 0.5 * (v + 1)), _SCORED)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
