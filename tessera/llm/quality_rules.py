@@ -24,24 +24,33 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo".split(),
 }
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
-#: fixed values: characters of the symbol rule and of sentence punctuation
-SYMBOLS, PUNCT, SPACES = "#*$%&|<>", ".,;:!?'\"()-", " \t\n\x0b\x0c\r"
+SPACES = " \t\n\x0b\x0c\r"
 CLASSES = ("space", "digit", "symbol", "exclaim", "punct", "upper", "other")
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_CHARS = 200  #: guard of the histogram of character classes, in characters of words
 MIN_COMMON = 60  #: guard of the histogram of common words, in words
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.16, 0.55
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.26, 0.325
+JOINT_CHAR, JOINT_WORD = 0.14, 0.27  #: distances that reject a document only together
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+#: spellings under which a common word counts
+SPELLINGS = sorted({x for w in WORDS for x in (w, w.capitalize())})
 
 
-def _common(text: Column) -> Column:
-    """The common words of a text, sorted."""
-    plain = F.split(F.translate(F.lower(text), PUNCT.replace("'", "") + SYMBOLS, ""), r"[\x20\x09-\x0D]+")
-    return F.sort_array(F.filter(plain, lambda w: w.isin(WORDS)))
+def _raw_classes(text: Column) -> Column:
+    """Counts of space, digit, symbol, exclaim, punct, upper, and the length.
+
+    Runs of lower-case letters, most of a text, go first, so the classes are counted on the rest.
+    """
+    rest = F.regexp_replace(text, r"\p{Ll}+", "")
+    marks = (r"[\x20\x09-\x0D]", "[0-9]", r"[#*$%&|<>]", "!", r"[.,;:?'\"()-]", r"\p{Lu}")
+    return let(rest, lambda r: F.array(*[F.regexp_count(r, F.lit(m)) for m in marks], F.length(text)))
+
+
+def _common(words: Column) -> Column:
+    """The common words of an array of words, lower-cased and sorted."""
+    return F.sort_array(F.transform(F.filter(words, lambda w: w.isin(SPELLINGS)), F.lower))
 
 
 def repeated_words(words: Column) -> Column:
@@ -68,11 +77,9 @@ def base_measures(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     counts = let(
         word_array(text),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")),
-    )
-    chars = F.array(
-        _count(text, SPACES), _count(text, "0123456789"), _count(text, SYMBOLS), _count(text, "!"), _count(text, PUNCT.replace("!", "")), F.regexp_count(text, F.lit(r"\p{Lu}")), F.length(text)
+        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"), _common(w).alias("common")),
     )
+    chars = _raw_classes(text)
     return (
         docs.withColumn("_counts", counts)
         .withColumn("_chars", chars)
@@ -97,9 +104,8 @@ def language_references(docs: DataFrame) -> dict[str, tuple[list[float], dict[st
     known language and word, whatever the input's size.
     """
     known = docs.where(F.col("lang").isin(list(COMMON)) & F.col("text").isNotNull())
-    text = F.col("text")
-    chars = F.array(_count(text, SPACES), _count(text, "0123456789"), _count(text, SYMBOLS), _count(text, "!"), _count(text, PUNCT.replace("!", "")), F.regexp_count(text, F.lit(r"\p{Lu}")), F.length(text))
-    rows = known.select("lang", chars.alias("c"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), _common(text).alias("w"))
+    rows = known.select("lang", _raw_classes(F.col("text")).alias("c"), let(word_array(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), _common(w).alias("w"))).alias("x"))
+    rows = rows.select("lang", "c", F.col("x.n").alias("n"), F.col("x.w").alias("w"))
     each = rows.select("lang", F.explode(F.concat(F.array(F.struct(F.lit("").alias("w"), F.col("n").cast("long").alias("k"), _class_array(F.col("c")).alias("c"))), F.transform("w", lambda w: F.struct(w.alias("w"), F.lit(1).cast("long").alias("k"), F.expr("cast(null as array<int>)").alias("c"))))).alias("x"))
     sums = each.groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.k").alias("k"), *[F.sum(F.get(F.col("x.c"), F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))])
     found: dict[str, tuple[list[float], dict[str, float]]] = {}
@@ -162,16 +168,16 @@ def quality_rules(docs: DataFrame, refs: dict | None = None) -> DataFrame:
     """
     refs = language_references(docs) if refs is None else refs
     measured = base_measures(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
     char = _nearest(char_distances(_class_array(F.col("_chars")), refs)) if refs else F.lit(0.0)
-    word = F.array_min(word_distances(_common(text), F.col("n_words"), refs)[0]) if refs else F.lit(0.0)
+    word = F.array_min(word_distances(F.col("_counts.common"), F.col("n_words"), refs)[0]) if refs else F.lit(0.0)
     judged = (
         measured.withColumn("char_distance", F.when(F.col("word_chars") >= MIN_CHARS, char))
         .withColumn("word_distance", F.when(F.col("n_words") >= MIN_COMMON, word))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     )
     near = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return judged.withColumn("kept", ~F.col("base_failed") & near).drop("_counts", "_chars")
+    both = (F.coalesce("char_distance", F.lit(0.0)) > JOINT_CHAR) & (F.coalesce("word_distance", F.lit(0.0)) > JOINT_WORD)
+    return judged.withColumn("kept", ~F.col("base_failed") & near & ~both).drop("_counts", "_chars")
 
 
 def js_distance(p: list[float], q: list[float]) -> float:
