@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm.text import WordMap, words_of
 
 BITS = 19
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 LEADS, TAIL = (3, 4, 5, 6, 7), 3
 MIN_DOCS = 3  #: rated rows that a feature must stand in
 LEAST_DRIFT = 4.0  #: standard errors by which the grade of a feature's rows must differ
@@ -83,9 +83,9 @@ class OrdinalModel:
 def fit_ordinal(ids: list[np.ndarray], ns: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalModel:
     """Maximum likelihood with weight decay, by Adam over the whole (bounded) sample."""
     lens = np.fromiter(map(len, ids), np.int64, len(ids))
-    cols = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-    vals = np.concatenate(ns).astype(np.float32) if len(ns) else np.zeros(0, np.float32)
-    rows = np.repeat(np.arange(len(ids)), lens)
+    cols = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
+    vals = np.concatenate(ns) if len(ns) else np.zeros(0, np.float32)
+    rows = np.repeat(np.arange(len(ids), dtype=np.int32), lens)
     df = np.bincount(cols, minlength=1 << BITS)
     # features whose rows' mean grade stands clearly off the whole: the rest would only add noise to long texts
     mean, spread = (grades.mean(), max(1e-6, grades.std())) if len(grades) else (0.0, 1.0)
@@ -127,7 +127,11 @@ def fit_ordinal(ids: list[np.ndarray], ns: list[np.ndarray], grades: np.ndarray,
 
 def train_ordinal(rated: DataFrame, n_grades: int, train_rows: int = TRAIN_ROWS) -> OrdinalModel:
     """Model from (text, grade) rows; rows with a null grade or text are not used."""
-    sample = rated.where("grade is not null and text is not null").select("text", F.col("grade").cast("int")).orderBy(F.xxhash64("text"), "text", "grade").limit(train_rows)
+    known = rated.where("grade is not null and text is not null").select("text", F.col("grade").cast("int"))
+    n = known.count()
+    # a hash slice somewhat larger than needed first, so that no task holds more rows than its share
+    slice_ = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1_000_000, 1_300_000 * train_rows / max(1, n) + 2000))
+    sample = known.where(slice_).orderBy(F.xxhash64("text"), "text", "grade").limit(train_rows)
     got = sample.repartition(12).mapInPandas(_features, "grade int, ids array<int>, ns array<float>").toPandas()  # at most train_rows rows
     got = got.sort_values("grade", kind="stable") if len(got) else got
     return fit_ordinal(list(got["ids"]), list(got["ns"]), got["grade"].to_numpy(np.int64), n_grades)
