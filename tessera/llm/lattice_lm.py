@@ -24,7 +24,7 @@ from tessera.llm.near_dups import mix
 from tessera.session import cut_table
 
 FOLDS, HELD_OUT = 5, 1
-ROUNDS = 4
+ROUNDS = 3
 LEAST = 0.01
 CHUNK_DOCS = 8192
 CHUNK_MB = 24
