@@ -11,29 +11,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.mixing import mix_sources
-from tessera.llm.near_dups import near_duplicates
+from tessera.llm.near_dups import BROADCAST_IDS, near_duplicates
 from tessera.llm.packing import best_fit_pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secrets import redact, scan_secrets
 from tessera.llm.text import n_words, word_array
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import cut, ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence rules keep."""
-    return quality_rules(docs).where("kept").select(*COLUMNS)
+    # packed and unpacked, so that the verdict isn't pushed into the scan and worked out once a reference
+    judged = quality_rules(docs).select(F.explode(F.array(F.struct(*COLUMNS, "kept"))).alias("row"))
+    return judged.where("row.kept").select(*[F.col(f"row.{c}").alias(c) for c in COLUMNS])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the smallest doc_id, one row of it."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    found = cut(near_duplicates(docs).select("doc_id", "kept"))
+    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    odd = cut(by_id.where("not _kept or _rows > 1"))
+    few = odd.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # sent to the texts only up to this size
+    marked = docs.join(F.broadcast(odd) if few else odd, "doc_id", "left")
+    single = marked.where("_rows is null").select(*COLUMNS)
     # rows that repeat a doc_id are one group; a null doc_id is in none
-    repeated = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    twice = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice.select(*COLUMNS))
+    repeated = marked.where("_kept and _rows > 1").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    return single.unionByName(repeated.select("doc_id", "r.*").select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
