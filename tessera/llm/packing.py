@@ -12,6 +12,7 @@ pieces of its length, and ranks are counted in hash buckets, so that no length i
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ def default_tokenizer() -> str:
 
 
 _ENCODERS: dict[str, WordMap] = {}
+#: a word of Latin letters with marks after it: the vocabulary's splitter cuts it there, so both parts are encoded for themselves
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()]+)")
 
 
 def encoder(path: str) -> WordMap:
@@ -45,7 +48,15 @@ def encoder(path: str) -> WordMap:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _ENCODERS[path] = WordMap(lambda w: np.array(tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes(), most=700_000)
+        parts = WordMap(lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), most=500_000)
+
+        def ids(word: bytes) -> bytes:
+            text = word.decode("utf-8", "replace")
+            marked = _MARKED.fullmatch(text)
+            parts.trim()
+            return parts[marked[1]] + parts[marked[2]] if marked else parts[text]
+
+        _ENCODERS[path] = WordMap(ids, most=500_000)
     return _ENCODERS[path]
 
 
@@ -57,7 +68,9 @@ def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                words = text.encode("utf-8", "replace").split() if text else ()
+                raw = text.encode("utf-8", "replace") if text else b""
+                # the vocabulary is of lower case, but its special tokens are not
+                words = (raw if b"<|" in raw else raw.lower()).split()
                 data = b"".join(map(ids_of.__getitem__, words)) + end
                 ids_of.trim()
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
