@@ -29,7 +29,7 @@ TRAIN_ROWS, TRAIN_WORDS = 2000, 60
 STRETCH, CHAIN = 20, 60
 EPOCHS, RATE, DECAY, BATCH = 4, 0.15, 1e-5, 32
 UNKNOWN = "und"
-BATCH_CELLS = 400_000  #: words (with padding) of one forward-backward batch
+BATCH_CELLS = 600_000  #: words (with padding) of one forward-backward batch
 _MASK = (1 << BITS) - 1
 _STRIP = ".,;:!?'\"()[]{}|#*$%&<>-_/\\0123456789"
 
@@ -50,11 +50,8 @@ def core_features(text: str) -> np.ndarray:
         return np.zeros(0, np.int64)
     text = text[:64]
     padded = f"^{text}$"
-    found = {padded}
-    found.update(padded[i : i + 3] for i in range(len(padded) - 2))
-    found.update(text[i : i + 2] for i in range(len(text) - 1))
-    for n in (1, 2, 4):
-        found.update(("p" + text[:n], "s" + text[-n:]))
+    found = {padded, "p" + text[:2], "s" + text[-2:], "s" + text[-4:]}
+    found.update([padded[i : i + 3] for i in range(len(padded) - 2)])
     return np.fromiter({zlib.crc32(f.encode()) & _MASK for f in found}, np.int64)
 
 
@@ -158,27 +155,59 @@ def fit_chain(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Chai
 
 def train_chain(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ChainModel:
     """Model from (text, lang) rows; rows with a null lang or text are not used."""
-    rows = docs.where("lang is not null and text is not null").select("text", "lang").orderBy(F.xxhash64("text"), "text", "lang").limit(train_rows)
-    got = rows.select(F.substring("text", 1, 20_000).alias("text"), "lang").collect()  # at most train_rows rows
+    rated = docs.where("lang is not null and text is not null")
+    n = rated.count()
+    # a hash slice somewhat larger than needed first, so that no task sends more rows than its share
+    slice_ = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1_000_000, 1_300_000 * train_rows / max(1, n) + 2000))
+    rows = rated.where(slice_).select(F.substring("text", 1, 20_000).alias("text"), "lang", F.xxhash64("text").alias("h")).orderBy("h", "text", "lang").limit(train_rows)
+    got = rows.select("text", "lang").collect()  # at most train_rows rows
     return fit_chain([r["text"] for r in got], [r["lang"] for r in got])
 
 
-def label_words(model: ChainModel, texts: list[str | None]) -> list[np.ndarray | None]:
-    """Marginals (word, language) of every word with a letter, by text; None for a text without."""
-    of_word = label_words.cache
-    if getattr(label_words, "model", None) is not model:
-        label_words.model = model
-        of_core = WordMap(lambda c: model.emit[core_features(c)].sum(axis=0) if c else None)
-        label_words.cores = of_core
-        of_word = label_words.cache = WordMap(lambda w: of_core[core_of(w)])
+class WordScores:
+    """Emission scores of words as rows of a growing matrix; row 0 stands for a word without letters."""
+
+    def __init__(self, model: ChainModel, most: int = 700_000):
+        self.model, self.most = model, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.table = np.zeros((1024, len(self.model.langs)))
+        self.used = 1
+        self.cores = WordMap(self._row)
+        self.rows = WordMap(lambda w: self.cores[core_of(w)])
+
+    def _row(self, core: str) -> int:
+        if not core:
+            return 0
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.used] = self.model.emit.take(core_features(core), axis=0).sum(axis=0)
+        self.used += 1
+        return self.used - 1
+
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        """(word, language) of the words with a letter."""
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        found = self.table[at[at > 0]].astype(np.float32)
+        if len(self.rows) > self.most:
+            self.reset()
+        return found
+
+
+def label_words(model: ChainModel, texts: list[str | None], keep: bool = True) -> list[np.ndarray | None]:
+    """Marginals (word, language) of every word with a letter, by text; None for a text without.
+
+    Without ``keep`` one row per text, the mean.
+    """
+    if label_words.scores is None or label_words.scores.model is not model:
+        label_words.scores = WordScores(model)
     found: list[np.ndarray | None] = [None] * len(texts)
     rows = []
     for i, text in enumerate(texts):
-        scores = [s for s in map(of_word.__getitem__, words_of(text)) if s is not None]
-        if scores:
-            rows.append((i, np.asarray(scores)))
-        of_word.trim()
-        label_words.cores.trim()
+        scores = label_words.scores.scores(words_of(text))
+        if len(scores):
+            rows.append((i, scores))
     rows.sort(key=lambda r: len(r[1]))
     at = 0
     while at < len(rows):
@@ -187,17 +216,17 @@ def label_words(model: ChainModel, texts: list[str | None]) -> list[np.ndarray |
             end += 1
         batch = rows[at:end]
         lengths = np.fromiter((len(s) for _, s in batch), np.int64, len(batch))
-        padded = np.zeros((len(batch), lengths.max(), len(model.langs)))
+        padded = np.zeros((len(batch), lengths.max(), len(model.langs)), np.float32)
         for b, (_, s) in enumerate(batch):
             padded[b, : len(s)] = s
         marginal, _ = marginals(padded, lengths, model.trans)
         for b, (i, s) in enumerate(batch):
-            found[i] = marginal[b, : len(s)]
+            found[i] = marginal[b, : len(s)].copy() if keep else marginal[b, : len(s)].mean(axis=0, dtype=float)[None]
         at = end
     return found
 
 
-label_words.cache = label_words.cores = None
+label_words.scores = None
 
 
 def marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, None]:
@@ -226,9 +255,9 @@ def _predict(model: ChainModel):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                for text, m in zip(part["text"], label_words(model, list(part["text"])), strict=True):
+            for at in range(0, len(batch), 10_000):
+                part = batch.iloc[at : at + 10_000]
+                for text, m in zip(part["text"], label_words(model, list(part["text"]), keep=False), strict=True):
                     if m is None:
                         letters = bool(text) and any(c.isalpha() for c in text)
                         rows.append((model.langs[0] if letters else UNKNOWN, 0.0))
