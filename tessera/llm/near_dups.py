@@ -10,8 +10,9 @@ on the full shingle sets of their texts.
 Large groups never become all pairs. Exact copies of a set collapse to one representative.
 Then each bucket elects a hub (the member that shares most buckets with others, so the original
 of a family of edits), and members are confirmed against their hubs only. What hubs leave apart
-is compared across components: inside small buckets directly, inside large ones through pairs
-of agreeing bands, with the sketch test in the join condition. A pair at the threshold misses all
+is compared across components: inside small buckets directly; in large ones, shingles that no other
+member has bound what a document can share, which settles heavily edited copies, and the rest meet
+through pairs of agreeing bands, with the sketch test in the join condition. A pair at the threshold misses all
 bands with probability below 3e-7; nothing is capped.
 """
 
@@ -32,6 +33,7 @@ BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS, SKETCH_LONGS = 512, 8
 SLACK = 0.20
+BROADCAST_IDS = 500_000  #: document ids (8 bytes each) that may be sent to every executor
 WIDE = 64  #: members from which a bucket is compared through pairs of bands
 
 _U = np.uint64
@@ -147,9 +149,21 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["a", "b"]]
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``ids``.
+
+    Up to ``BROADCAST_IDS`` ids are sent to the texts, so that only these texts are shuffled later;
+    more ids meet them in a shuffled join.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    pairs = cut(pairs)
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     full = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     return full.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a long, b long").distinct()
 
@@ -162,6 +176,27 @@ def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & near).select("a", "b").distinct()
 
 
+def _list_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = hash64()
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.iloc[at : at + 256]
+            sets = [shingle_set(x, hashes) for x in part["text"]]
+            yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(np.int64), [len(x) for x in sets]), "s": np.concatenate(sets).view(np.int64)})
+
+
+def shared_counts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of each of these documents no other of them has."""
+    rows = texts_of(docs, ids.select("id").distinct()).mapInPandas(_list_shingles, "id long, s long")
+    alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Buckets with members of several components, with their sizes."""
+    return placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("key", F.col("c").alias("size"))
+
+
 def near_duplicate_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """Links (a, b) that connect all documents whose sets reach the threshold.
 
@@ -183,20 +218,24 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     first = cut(confirm(_alike(to_hub, reps), docs))
     parts = connected_components(first, "a", "b").withColumnsRenamed({"node": "id"})
     placed = cut(members.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("key", F.col("c").alias("size"))
-    apart = placed.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "sketch", "n_shingles"), "id")
-    wide = apart.where(F.col("size") > WIDE)
-    twice = wide.join(reps.select(F.col("doc_id").alias("id"), "bands"), "id").select(F.explode("bands").alias("other"), "key", "id", "comp", "sketch", "n_shingles").where("other <> key")
-    keyed = apart.where(F.col("size") <= WIDE).select("key", "id", "comp", "sketch", "n_shingles").unionByName(
-        twice.select(F.xxhash64("key", "other").alias("key"), "id", "comp", "sketch", "n_shingles")
-    )
-    x = keyed.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    y = keyed.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    left = cut(placed.join(_mixed(placed), "key"))
+    figures = reps.select(F.col("doc_id").alias("id"), "sketch", "n_shingles")
+    narrow = left.where(F.col("size") <= WIDE).join(figures, "id").select("key", "id", "comp", "sketch", "n_shingles", F.col("n_shingles").alias("common"))
+    # in wide buckets, shingles that no other of their members has are in no intersection among them, so they bound every similarity
+    wide = left.where(F.col("size") > WIDE)
+    bounded = figures.join(shared_counts(wide, docs), "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
+    able = cut(wide.select("key", "id", "comp").join(bounded.where(100 * F.col("common") >= PERCENT * F.col("n_shingles")).drop("own"), "id"))
+    apart = able.join(_mixed(able).select("key"), "key", "left_semi")
+    twice = apart.join(reps.select(F.col("doc_id").alias("id"), "bands"), "id").select(F.explode("bands").alias("other"), "key", "id", "comp", "sketch", "n_shingles", "common").where("other <> key")
+    keyed = narrow.unionByName(twice.select(F.xxhash64("key", "other").alias("key"), "id", "comp", "sketch", "n_shingles", "common"))
+    x = keyed.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"), F.col("common").alias("ma"))
+    y = keyed.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"), F.col("common").alias("mb"))
+    most = F.least("ma", "mb")
     close = (
         (F.col("key") == F.col("k2"))
         & (F.col("a") < F.col("b"))
         & (F.col("ca") != F.col("cb"))
-        & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+        & (100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
         & (_xor_bits("sa", "sb") <= most_odd_bits(PERCENT / 100 - SLACK))
     )
     second = confirm(x.join(y, close).select("a", "b").distinct(), docs)
