@@ -144,10 +144,10 @@ def test_queries_match_duckdb(spark, sf_dir):
         df = QUERIES[name](spark, sf_dir)
         cols = sorted(df.columns)
         flat = lambda v: round(float(v), 4) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-        got = sorted(tuple(flat(r[c]) for c in cols) for r in df.collect())
+        got = sorted((tuple(flat(r[c]) for c in cols) for r in df.collect()), key=repr)
         found = con.execute(ORACLES[name])
         at = [[d[0] for d in found.description].index(c) for c in cols]
-        assert got == sorted(tuple(flat(row[i]) for i in at) for row in found.fetchall()), name
+        assert got == sorted((tuple(flat(row[i]) for i in at) for row in found.fetchall()), key=repr), name
 
 
 def test_entry_has_every_oracle(spark):
