@@ -93,7 +93,7 @@ _add("user_risk_mart", lambda t: t["users"], _rounded("users", "average_transact
 _add("merchant_risk_mart", lambda t: t["merchants"], _rounded("merchants", "average_transaction_value", "declared_avg_ticket_size", "chargeback_records_per_transaction", "chargeback_rate_min_volume", "ticket_size_variance_ratio"))
 _add("key_universe", lambda t: t["users"].select("user_id"), "SELECT user_id FROM users")
 
-# --- graph: components on the sparse part of the orders ---------------------------------------------------------
+# --- graph ------------------------------------------------------------------------------------------------------
 _NODES = """
 sparse AS (SELECT DISTINCT source, target FROM edges WHERE relationship_type = 'TRANSACTION_RELATIONSHIP' AND source IS NOT NULL AND target IS NOT NULL),
 deg AS (SELECT node_id, count(*) AS degree FROM (SELECT source AS node_id FROM sparse UNION ALL SELECT target FROM sparse) GROUP BY 1),
@@ -108,10 +108,11 @@ _add("network_audit", lambda t: t["network_audit"], None, network=True)
 _add("most_connected", lambda t: R.most_connected(t["nodes"]).drop("component_size"), """
     SELECT e.node_id, CASE WHEN e.node_id LIKE 'USR%' THEN 'USER' ELSE 'MERCHANT' END AS node_type, coalesce(degree, 0) AS degree FROM ends e LEFT JOIN deg USING (node_id)
     ORDER BY degree DESC, node_id LIMIT 12""", _NODES, network=True)
+_add("network_components_whole", lambda t: t["nodes"].select("node_id", "component_id", "component_size"), None, network=True)
 
 
 def component_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the pairs of every 50th order: the whole graph is one component, which would test nothing."""
+    """Components of the pairs of every 50th order only, as its SQL twin states; network_components_whole has all pairs."""
     t = from_driver_tables(spark, sf_dir)["transactions_cleaned"]
     few = t.where(F.substring("txn_id", 4, 20).cast("long") % 50 == 0).select("user_id", "merchant_id").where("merchant_id is not null").distinct()
     found = graph.connected_components(few, "user_id", "merchant_id").withColumnsRenamed({"node": "node_id", "component": "component_id"})

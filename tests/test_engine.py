@@ -150,6 +150,31 @@ def test_queries_match_duckdb(spark, sf_dir):
         assert got == sorted((tuple(flat(row[i]) for i in at) for row in found.fetchall()), key=repr), name
 
 
+def test_whole_components_cover_all_observed_pairs(spark, sf_dir):
+    from tessera.plans.pipeline import from_driver_tables
+    from tessera.plans.queries import QUERIES
+
+    t = from_driver_tables(spark, sf_dir)
+    pairs = {(r[0], r[1]) for r in t["transactions_cleaned"].select("user_id", "merchant_id").collect()}
+    ends = pairs | {(r[0], r[1]) for r in t["chargebacks_cleaned"].select("user_id", "merchant_id").collect()}
+    up = {x: x for pair in ends for x in pair if x is not None}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and b is not None:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    sizes = {}
+    for x in up:
+        sizes[find(x)] = sizes.get(find(x), 0) + 1
+    got = {r["node_id"]: (r["component_id"], r["component_size"]) for r in QUERIES["network_components_whole"](spark, sf_dir).collect()}
+    assert got == {x: (find(x), sizes[find(x)]) for x in up}
+
+
 def test_entry_has_every_oracle(spark):
     import __spark_entry__ as entry
 
