@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm.mixing import mix_sources
+from tessera.llm.mixing import BLOCK, mix_draws
 from tessera.llm.near_dups import BROADCAST_IDS, near_duplicates
 from tessera.llm.packing import best_fit_pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secrets import redact, scan_secrets
-from tessera.llm.text import n_words, word_array
+from tessera.llm.text import word_array
 from tessera.session import cut, ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,22 +47,40 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return masked.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+#: runs of adjacent draws of one pass, (start, n) in words of the document
+PASSAGES = """transform(array(draws), d -> zip_with(
+    filter(d, (x, i) -> i = 0 or get(d, i - 1).pass <> x.pass or get(d, i - 1).start + get(d, i - 1).take <> x.start),
+    filter(d, (x, i) -> i = size(d) - 1 or get(d, i + 1).pass <> x.pass or x.start + x.take <> get(d, i + 1).start),
+    (a, b) -> struct(a.start as start, b.start + b.take - a.start as n)))[0]"""
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: whole copies, then a leading part.
+    """The word ranges that the mix drew: a row for each run of adjacent drawn words of a pass.
 
-    A document with ``taken`` words gives taken div size copies and, for the rest, a row with its
-    first taken mod size words. Copies share the doc_id. Rows without a doc_id go by their text and
-    source; rows of one key take the same share.
+    A pass over the whole source gives whole documents, in their own white space; the partial pass
+    gives passages of drawn blocks, words joined by one space. Rows of one document share the
+    doc_id. Rows without a doc_id go by their text and source.
     """
     key = F.coalesce(F.col("doc_id"), -1 - F.abs(F.xxhash64("text", "source") % 2**62))
-    keyed = docs.withColumn("_key", key)
-    taken = mix_sources(keyed.select(F.col("_key").alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias("_key")).agg(F.max("taken").alias("_taken"))
-    held = keyed.join(taken.where("_taken > 0"), "_key").withColumn("_size", n_words(F.col("text"))).where("_size > 0")
-    shares = F.expr("transform(sequence(0, cast((least(_taken, 2 * _size) - 1) div _size as int)), k -> least(_size, least(_taken, 2 * _size) - k * _size))")
-    rows = held.withColumn("_share", F.explode(shares))
-    words = F.array_join(F.slice(word_array(F.col("text")), 1, F.col("_share").cast("int")), " ")
-    part = F.when(F.col("_share") == F.col("_size"), F.col("text")).otherwise(words)
-    return rows.withColumn("text", part).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    # rows of one _row are alike in all columns, so any of them can stand for each
+    row = F.xxhash64(key, "text", "source", F.isnull("source"), "lang", F.isnull("lang"), "n_chars", F.isnull("n_chars"))
+    keyed = docs.withColumn("_key", key).withColumn("_row", row)
+    draws = mix_draws(keyed.select(F.col("_key").alias("doc_id"), "text", "source", "_row"), BLOCK, "_row")
+    drawn = cut(draws.where("size(draws) > 0").select("_row", F.col("size").alias("_size"), F.expr(PASSAGES).alias("_passages")))
+    if not drawn.groupBy("_row").count().where("count > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["_row"])
+    held = keyed.join(drawn, "_row")
+    cut_up = F.exists("_passages", lambda p: p["n"] < F.col("_size"))
+    words = F.when(cut_up, word_array(F.col("text"))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def passage(w: Column, p: Column) -> Column:
+        some = F.array_join(F.slice(w, (p["start"] + 1).cast("int"), p["n"].cast("int")), " ")
+        return F.when(p["n"] == F.col("_size"), F.col("text")).otherwise(some)
+
+    # the words are bound once a row, not once a passage
+    texts = F.transform(F.array(words), lambda w: F.transform("_passages", lambda p: passage(w, p)))[0]
+    rows = held.select("doc_id", F.explode(texts).alias("text"), "lang", "source")
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def mixture_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mixture_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """One row per slot: idx, block, take (its first words that count), shard, place."""
+    """One row per slot: idx, pass, block, take (its first words that count), shard, place."""
     size, goal = F.col("source_size"), F.round("target").cast("long")
     src = targets.where("source_size > 0").select(
         "idx", "source_size", F.expr(f"source_size div {block}").alias("full"), F.ceil(size / block).cast("long").alias("blocks"), F.least(goal, 2 * size).alias("goal")
@@ -74,7 +74,7 @@ def mixture_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHA
     whole = F.least(F.lit(block).cast("long"), size - F.col("block") * block)
     take = F.when(F.col("pass") < F.col("passes"), whole).otherwise(F.least(F.lit(block).cast("long"), F.col("rest") - F.col("i") * block))
     dealt = permuted(F.col("base") + F.col("j"), F.col("all_slots"), F.lit("deal"))
-    return slots.withColumn("take", take).withColumn("dealt", dealt).select("idx", "block", "take", F.expr(f"dealt div {shard_slots}").alias("shard"), F.expr(f"dealt % {shard_slots}").alias("place"))
+    return slots.withColumn("take", take).withColumn("dealt", dealt).select("idx", "pass", "block", "take", F.expr(f"dealt div {shard_slots}").alias("shard"), F.expr(f"dealt % {shard_slots}").alias("place"))
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
@@ -82,16 +82,41 @@ def shard_counts(slots: DataFrame) -> DataFrame:
     return slots.groupBy("shard", "idx").agg(F.count(F.lit(1)).alias("slots"))
 
 
-def placed_documents(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, size) rows with their source's figures and ``at``, their first word in the source."""
+def placed_documents(sized: DataFrame, targets: DataFrame, *ids: str) -> DataFrame:
+    """(doc_id, size) rows with their source's figures and ``at``, their first word in the source; ``ids`` break ties."""
     chunks = max(8, -(-sized.count() // CHUNK_DOCS))
     held = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop("source", "weight").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     before = Window.partitionBy("idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = held.groupBy("idx", "chunk").agg(F.sum("size").alias("n")).select("idx", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("chunk_at"))
-    own = Window.partitionBy("idx", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("idx", "chunk").orderBy("doc_id", "size", *ids).rowsBetween(Window.unboundedPreceding, -1)
     return held.withColumn("own_at", F.coalesce(F.sum("size").over(own), F.lit(0))).join(bases, ["idx", "chunk"]).withColumn("at", F.col("chunk_at") + F.col("own_at")).drop("chunk", "chunk_at", "own_at")
 
 
+DRAWS = "array<struct<pass: bigint, start: bigint, take: bigint, block: bigint>>"
+
+
+def mix_draws(docs: DataFrame, block: int = BLOCK, *ids: str) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source, ``ids``): doc_id, ids, size, source_size, target, draws.
+
+    ``draws`` are the word ranges that slots drew from the row, by pass and ``start`` (its words are
+    numbered from 0): ``take`` words of ``block`` of the source.
+    """
+    sized = cut(docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), *ids))
+    targets = cut(mixture_targets(sized))
+    slots = mixture_slots(targets, block).select("idx", "pass", "block", "take")
+    placed = placed_documents(sized, targets, *ids)
+    parts = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
+    first = F.greatest(F.col("at"), F.col("block") * block)
+    got = F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("take")) - first
+    # least() skips the null of a block that wasn't drawn
+    draw = F.when(F.col("take").isNotNull() & (got > 0), F.struct("pass", (first - F.col("at")).alias("start"), got.alias("take"), "block"))
+    drawn = parts.join(slots, ["idx", "block"], "left").withColumn("draw", draw)
+    keys = ["doc_id", *ids, "size", "source_size", "target"]
+    held = drawn.groupBy("idx", "at", *keys).agg(F.sort_array(F.collect_list("draw")).cast(DRAWS).alias("draws"))
+    blank = placed.where("size = 0").select(*keys, F.array().cast(DRAWS).alias("draws"))
+    return held.select(*keys, "draws").unionByName(blank)
+
+
 def mix_sources(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken.
 
@@ -99,13 +124,5 @@ def mix_sources(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     taken. Rows that repeat a doc_id are mixed each for itself. Other columns are not read. An
     empty table gives an empty result. Reruns agree, whatever the partitions.
     """
-    sized = cut(docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size")))
-    targets = cut(mixture_targets(sized))
-    slots = mixture_slots(targets, block).select("idx", "block", "take")
-    placed = placed_documents(sized, targets)
-    parts = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
-    got = F.greatest(F.lit(0).cast("long"), F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("take")) - F.greatest(F.col("at"), F.col("block") * block))
-    drawn = parts.join(slots, ["idx", "block"], "left").na.fill(0, ["take"])  # least() would skip a null
-    taken = drawn.groupBy("doc_id", "idx", "at", "size", "source_size", "target").agg(F.sum(got).alias("taken"))
-    blank = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken").unionByName(blank)
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["take"])
+    return mix_draws(docs, block).select("doc_id", "size", "source_size", "target", taken.alias("taken"))

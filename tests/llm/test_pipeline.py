@@ -35,3 +35,39 @@ def test_run_and_edges(spark, sf_dir, tmp_path):
         docs = spark.createDataFrame(rows, DOCS)
         for k, (_, stage) in enumerate(p.STAGES):
             stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{len(rows)}-{k}")
+
+
+def test_mixing_writes_the_drawn_blocks(spark, sf_dir):
+    import corpus_pipeline as p
+    from tessera.llm import mixing
+
+    size = 5100
+    words = {s: [f"{s}{i}" for i in range(size)] for s in "abc"}
+    rows = [(k, " ".join(words[s]), None, s, 1, None) for k, s in enumerate("abc")]
+    targets = mixing.mixture_targets(spark.createDataFrame([(s, size) for s in "abc"], "source string, size long"))
+    want = collections.Counter()
+    for r in mixing.mixture_slots(targets).collect():
+        at = r["block"] * mixing.BLOCK
+        want.update(words["abc"[r["idx"]]][at : at + r["take"]])
+    got = collections.Counter()
+    for r in p.mixing(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect():
+        row = r["text"].split()
+        first = int(row[0][1:])
+        assert row == words[r["source"]][first : first + len(row)] and r["n_chars"] == len(r["text"])
+        got.update(row)
+    assert got == want and 0 < len([w for w in words["b"] if w in got]) < size
+    assert {w for w in words["b"] if w in got} != set(words["b"][: sum(w in got for w in words["b"])])
+
+
+def test_mixing_takes_repeated_rows_each_for_itself(spark, sf_dir):
+    import corpus_pipeline as p
+    from tessera.llm import mixing
+
+    text = " ".join(f"w{i}" for i in range(500))
+    rows = [(None, text, None, "b", 1, None)] * 3 + [(7, text, "en", "b", 1, None), (7, text + " x", "de", "b", 1, None)]
+    rows += [(k, " ".join([text] * 6), None, s, 1, None) for k, s in enumerate("ac")]
+    goal = {r["source"]: r["target"] for r in mixing.mixture_targets(spark.createDataFrame([(r[3], len(r[1].split())) for r in rows], "source string, size long")).collect()}
+    got = collections.Counter()
+    for r in p.mixing(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert all(abs(got[s] - goal[s]) <= 1 for s in "abc")
