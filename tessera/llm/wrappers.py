@@ -5,8 +5,9 @@ template, a tree in which repeated siblings are one node. Each template node rem
 held on the first page and whether any page held another: constant nodes are template, varying
 slots are content. Templates are mergeable, so every page takes part: pages fold into templates
 where they are read, partial templates of a host fold in salted groups, then in one per host, each
-as small as the host's markup, whatever its number of pages. To extract, a page is aligned with
-its host's template; text in varying slots stays unless its place is marked as navigation, header,
+as small as the host's markup, whatever its number of pages. Pages of one text count once. To
+extract, a page is aligned with its host's template; a block goes where its slot is constant and
+holds that very text on this page, any other text stays unless its place is marked as navigation, header,
 footer, sidebar, notice, advert, form, script, style or reader comments, and is read inside the
 article or main element where the page has one, else inside the element that holds most of it.
 """
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.session import cut
 
 SALTS = 64
-MIN_PAGES = 5  #: pages of a host below which nothing counts as constant
+BROADCAST_CONTENTS = 100_000  #: repeated page contents up to which they are sent to the pages, not joined by shuffle
+MIN_PAGES = 5  #: distinct pages of a host below which nothing counts as constant
 CONSTANT_SHARE = 0.8  #: share of a node's pages that must hold its first text
 
 #: fixed values: element classes of HTML
@@ -138,13 +140,19 @@ def _own_text(node: Node) -> str:
     return "".join(parts)
 
 
-def shape(node: Node) -> list:
-    """A page's tree as a one-page template: block elements only, repeated siblings folded."""
+def shape(node: Node, slots: dict[int, list] | None = None, into: dict[int, tuple[list, list]] | None = None) -> list:
+    """A page's tree as a one-page template: block elements only, repeated siblings folded.
+
+    ``slots`` gets the slot of each element by id, ``into`` the slots that were folded and where they went.
+    """
     text = " ".join(_own_text(node).split())
     kids: list[list] = []
     for kid in _blocks(node):
-        _fold(kids, shape(kid))
-    return [node.tag, node.noise, 1, xxhash.xxh3_64_intdigest(text) >> 1 if text else 0, 1, len(text), kids]
+        _fold(kids, shape(kid, slots, into), into)
+    slot = [node.tag, node.noise, 1, xxhash.xxh3_64_intdigest(text) >> 1 if text else 0, 1, len(text), kids]
+    if slots is not None:
+        slots[id(node)] = slot
+    return slot
 
 
 def _blocks(node: Node) -> Iterator[Node]:
@@ -156,14 +164,16 @@ def _blocks(node: Node) -> Iterator[Node]:
                 yield kid
 
 
-def _fold(kids: list[list], new: list) -> None:
+def _fold(kids: list[list], new: list, into: dict[int, tuple[list, list]] | None = None) -> None:
     """Append a sibling; a sibling of the last one's name becomes part of it."""
     if kids and kids[-1][TAG] == new[TAG] and kids[-1][MUTED] == new[MUTED]:
         last = kids[-1]
         last[HASH] = (last[HASH] * 31 + new[HASH]) & 0x7FFFFFFFFFFFFFFF
         last[CHARS] += new[CHARS]
+        if into is not None:
+            into[id(new)] = (last, new)  # new stays alive, so that its id does
         for kid in new[KIDS]:
-            _fold(last[KIDS], kid)
+            _fold(last[KIDS], kid, into)
     else:
         kids.append(new)
 
@@ -222,10 +232,37 @@ def _constant(t: list) -> bool:
     return t[PAGES] >= MIN_PAGES and t[SAME] >= CONSTANT_SHARE * t[PAGES]
 
 
+def _boilerplate(page: Node, template: list | None) -> set[int]:
+    """Ids of the elements whose slot holds, on this page, the constant text of its template node."""
+    if template is None:
+        return set()
+    slots: dict[int, list] = {}
+    into: dict[int, tuple[list, list]] = {}
+    same: set[int] = set()
+    memo: dict = {}
+
+    def compare(slot: list, t: list) -> None:
+        if slot[CHARS] and slot[HASH] == t[HASH] and _constant(t):
+            same.add(id(slot))
+        for i, j in aligned(slot[KIDS], t[KIDS], memo):
+            if i is not None and j is not None:
+                compare(slot[KIDS][i], t[KIDS][j])
+
+    compare(shape(page, slots, into), template)
+    found: set[int] = set()
+    for element, slot in slots.items():
+        while id(slot) in into:
+            slot = into[id(slot)][0]
+        if id(slot) in same:
+            found.add(element)
+    return found
+
+
 def extract(page: Node, template: list | None) -> str:
     """Main text of a page under its host's template."""
     found: list[tuple[tuple[Node, ...], str]] = []  # (ancestors, block text)
     flat: list[str] = []
+    boilerplate = _boilerplate(page, template)
 
     def close(path: tuple[Node, ...]) -> None:
         text = " ".join(entities.unescape("".join(flat)).split())
@@ -233,7 +270,7 @@ def extract(page: Node, template: list | None) -> str:
         if text:
             found.append((path, text))
 
-    def walk(node: Node, path: tuple[Node, ...], drop: bool, slots: dict[int, list]) -> None:
+    def walk(node: Node, path: tuple[Node, ...], drop: bool) -> None:
         """Text runs of a block and its inline children; blocks inside end the run."""
         for kid in node.kids:
             if isinstance(kid, str):
@@ -243,18 +280,16 @@ def extract(page: Node, template: list | None) -> str:
                 flat.append(" ")
             elif kid.tag in INLINE:
                 if not kid.noise:
-                    walk(kid, path, drop, slots)
+                    walk(kid, path, drop)
             elif kid.tag in VOID:
                 close(path)
             elif not kid.noise:
                 close(path)
-                slot = slots.get(id(kid))
-                below = _slots(kid, slot)
                 inside = (*path, kid)
-                walk(kid, inside, bool(slot and _constant(slot)), below)
+                walk(kid, inside, id(kid) in boilerplate)
                 close(inside)
 
-    walk(page, (), False, _slots(page, template))
+    walk(page, (), False)
     close(())
     if not found:
         return ""
@@ -277,29 +312,6 @@ def extract(page: Node, template: list | None) -> str:
     return " ".join(keep)
 
 
-def _slots(node: Node, template: list | None) -> dict[int, list]:
-    """Template nodes of a node's block children, by the same alignment as in merging."""
-    if template is None:
-        return {}
-    groups: list[tuple[list, list[Node]]] = []
-    for kid in _blocks(node):
-        if groups and groups[-1][0][TAG] == kid.tag and groups[-1][0][MUTED] == kid.noise:
-            groups[-1][1].append(kid)
-        else:
-            groups.append(([kid.tag, kid.noise, 1, 0, 1, 0, []], [kid]))
-    heads = [g for g, _ in groups]
-    if len(heads) != len(template[KIDS]) or any(h[TAG] != t[TAG] for h, t in zip(heads, template[KIDS], strict=True)):
-        heads = [shape_of_group(nodes) for _, nodes in groups]
-    return {id(n): template[KIDS][j] for i, j in aligned(heads, template[KIDS], {}) if i is not None and j is not None for n in groups[i][1]}
-
-
-def shape_of_group(nodes: list[Node]) -> list:
-    kids: list[list] = []
-    for n in nodes:
-        _fold(kids, shape(n))
-    return kids[0]
-
-
 # --- Spark ----------------------------------------------------------------------------------------------------
 
 
@@ -327,9 +339,21 @@ def _merge_group(keys, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [keys[0]], "template": [json.dumps(found)]})
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, html): of the pages of a host with one text (without tags, by its hash) a single one, the smallest."""
+    text = F.regexp_replace(F.regexp_replace("html", r"<[^<>]*>", " "), r"\s+", " ")
+    marked = pages.where("html <> ''").select("host", "html", F.xxhash64(F.trim(text)).alias("content"))
+    again = cut(marked.groupBy("host", "content").count().where("count > 1").select("host", "content"))
+    few = again.limit(BROADCAST_CONTENTS + 1).count() <= BROADCAST_CONTENTS
+    known = F.broadcast(again) if few else again
+    single = marked.join(known, ["host", "content"], "left_anti").select("host", "html")
+    repeated = marked.join(known, ["host", "content"], "left_semi").groupBy("host", "content").agg(F.min("html").alias("html"))
+    return single.unionByName(repeated.select("host", "html"))
+
+
 def host_templates(pages: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(host, template) from every page of ``pages`` (host, html)."""
-    partial = cut(pages.select("host", "html").mapInPandas(_induce, "host string, template string"))
+    """(host, template) from every distinct page of ``pages`` (host, html)."""
+    partial = cut(distinct_pages(pages).mapInPandas(_induce, "host string, template string"))
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(salts)))
     once = salted.groupBy("host", "salt").applyInPandas(lambda k, g: _merge_group(k, g), "host string, template string")
     return once.groupBy("host").applyInPandas(lambda k, g: _merge_group(k, g), "host string, template string")
@@ -350,8 +374,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Null or empty html gives an empty text. A null or malformed url belongs to the host of empty
-    name. Rows that repeat a page count as often as they stand. On hosts of fewer than ``MIN_PAGES``
-    pages no slot is constant, so marks and elements decide. Other columns are not read. An empty
+    name. Rows that repeat a page give a row each, and count once in the template. On hosts of fewer
+    than ``MIN_PAGES`` distinct pages no slot is constant, so marks and elements decide. Other columns are not read. An empty
     table gives an empty result.
     """
     held = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"))

@@ -450,6 +450,21 @@ def test_articles_of_the_pages_table(spark, sf_dir):
         assert got[r["page_id"]] == " ".join(b for b in blocks if b)
 
 
+def test_wrappers_drop_only_the_constant_text_itself(spark):
+    page = "<html><body><article><h1>{}</h1><p>{}</p></article><div>{}</div></body></html>"
+    rows = [(i, f"http://copies.example/{i}", page.format("Same", "One article", "")) for i in range(4)] + [(4, "http://copies.example/4", page.format("Other", "Unique text", ""))]
+    rows += [(10 + i, f"http://group.example/{i}", page.format("Group", "Only text", "").replace("<html>", f'<html lang="l{i}">')) for i in range(6)]
+    bare = "<html><body><article>{}<h1>{}</h1></article></body></html>"
+    rows += [(20 + i, f"http://bare.example/{i}", bare.format("Bare words" if i == 9 else "", f"Head {i}")) for i in range(10)]
+    motto = "<html><body><article><h1>Head {}</h1><div>{}</div></article></body></html>"
+    rows += [(30 + i, f"http://motto.example/{i}", motto.format(i, "News of the day" if i == 9 else "Our motto")) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Same One article" and got[4] == "Other Unique text"
+    assert all(got[10 + i] == "Group Only text" for i in range(6))
+    assert got[29] == "Bare words Head 9" and got[20] == "Head 0"
+    assert got[39] == "Head 9 News of the day" and got[30] == "Head 0"
+
+
 def test_simple_tree_matching():
     tree = lambda text: wrappers.shape(wrappers.parse(text))
     a, b = tree("<div><h1>x</h1><ul><li>1</li></ul><p>a</p></div>"), tree("<div><h1>y</h1><p>b</p><p>c</p></div>")
