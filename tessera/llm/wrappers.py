@@ -9,7 +9,7 @@ as small as the host's markup, whatever its number of pages. Pages of one text c
 extract, a page is aligned with its host's template; a block goes where its slot is constant and
 holds that very text on this page, any other text stays unless its place is marked as navigation, header,
 footer, sidebar, notice, advert, form, script, style or reader comments, and is read inside the
-article or main element where the page has one, else inside the element that holds most of it.
+article or main element where the page has one, else on the whole page.
 """
 
 from __future__ import annotations
@@ -293,23 +293,8 @@ def extract(page: Node, template: list | None) -> str:
     close(())
     if not found:
         return ""
-    marked = [p for p, _ in found if any(n.tag in ("article", "main") for n in p)]
-    if marked:
-        keep = [t for p, t in found if any(n.tag in ("article", "main") for n in p)]
-    else:
-        weight: dict[int, int] = {}
-        for p, t in found:
-            for n in p[:-1] or (page,):
-                weight[id(n)] = weight.get(id(n), 0) + len(t)
-        total = sum(len(t) for _, t in found)
-        # the deepest element that still holds most of the text
-        best, depth = None, -1
-        for p, _ in found:
-            for d, n in enumerate(p[:-1]):
-                if weight.get(id(n), 0) >= 0.7 * total and d > depth:
-                    best, depth = n, d
-        keep = [t for p, t in found if best is None or any(n is best for n in p)]
-    return " ".join(keep)
+    marked = [t for p, t in found if any(n.tag in ("article", "main") for n in p)]
+    return " ".join(marked or [t for _, t in found])
 
 
 # --- Spark ----------------------------------------------------------------------------------------------------

@@ -465,6 +465,13 @@ def test_wrappers_drop_only_the_constant_text_itself(spark):
     assert got[39] == "Head 9 News of the day" and got[30] == "Head 0"
 
 
+def test_wrappers_keep_all_content_of_pages_without_article(spark):
+    page = '<html><body><div><h1>Head {0}</h1><div class="content"><p>{1}</p></div><section><p>Sequel {0}</p></section></div><nav>menu {0}</nav></body></html>'
+    rows = [(i, f"http://plain.example/{i}", page.format(i, f"Body {i} " * 30)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join([f"Head {i}", *[f"Body {i}"] * 30, f"Sequel {i}"]) for i in range(6)}
+
+
 def test_simple_tree_matching():
     tree = lambda text: wrappers.shape(wrappers.parse(text))
     a, b = tree("<div><h1>x</h1><ul><li>1</li></ul><p>a</p></div>"), tree("<div><h1>y</h1><p>b</p><p>c</p></div>")
