@@ -92,24 +92,24 @@ def placed_documents(sized: DataFrame, targets: DataFrame, *ids: str) -> DataFra
     return held.withColumn("own_at", F.coalesce(F.sum("size").over(own), F.lit(0))).join(bases, ["idx", "chunk"]).withColumn("at", F.col("chunk_at") + F.col("own_at")).drop("chunk", "chunk_at", "own_at")
 
 
-DRAWS = "array<struct<pass: bigint, start: bigint, take: bigint, block: bigint>>"
+DRAWS = "array<struct<pass: bigint, start: bigint, take: bigint, block: bigint, shard: bigint, place: bigint>>"
 
 
 def mix_draws(docs: DataFrame, block: int = BLOCK, *ids: str) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source, ``ids``): doc_id, ids, size, source_size, target, draws.
 
     ``draws`` are the word ranges that slots drew from the row, by pass and ``start`` (its words are
-    numbered from 0): ``take`` words of ``block`` of the source.
+    numbered from 0): ``take`` words of ``block`` of the source, dealt to ``place`` of the output ``shard``.
     """
     sized = cut(docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), *ids))
     targets = cut(mixture_targets(sized))
-    slots = mixture_slots(targets, block).select("idx", "pass", "block", "take")
+    slots = mixture_slots(targets, block)
     placed = placed_documents(sized, targets, *ids)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     first = F.greatest(F.col("at"), F.col("block") * block)
     got = F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("take")) - first
     # least() skips the null of a block that wasn't drawn
-    draw = F.when(F.col("take").isNotNull() & (got > 0), F.struct("pass", (first - F.col("at")).alias("start"), got.alias("take"), "block"))
+    draw = F.when(F.col("take").isNotNull() & (got > 0), F.struct("pass", (first - F.col("at")).alias("start"), got.alias("take"), "block", "shard", "place"))
     drawn = parts.join(slots, ["idx", "block"], "left").withColumn("draw", draw)
     keys = ["doc_id", *ids, "size", "source_size", "target"]
     held = drawn.groupBy("idx", "at", *keys).agg(F.sort_array(F.collect_list("draw")).cast(DRAWS).alias("draws"))
@@ -118,11 +118,12 @@ def mix_draws(docs: DataFrame, block: int = BLOCK, *ids: str) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken.
+    """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, draws.
 
-    A null source is a source of its own, the last. Null or blank text has size 0 and nothing
+    ``draws`` are the row's parts of the mixed shards (see ``mix_draws``), ``taken`` their words. Read by
+    shard and place, with the words each names, they are the mix. A null source is a source of its own, the last. Null or blank text has size 0 and nothing
     taken. Rows that repeat a doc_id are mixed each for itself. Other columns are not read. An
     empty table gives an empty result. Reruns agree, whatever the partitions.
     """
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["take"])
-    return mix_draws(docs, block).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mix_draws(docs, block).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")

@@ -221,6 +221,18 @@ def test_mixing_edges_and_permutation(spark):
     assert {r["n"] for r in per if r["shard"] < len(per) - 1} == {64}
 
 
+def test_mixing_deals_every_slot_to_a_place(spark):
+    rows = [(k, "w " * 70_000, None, s, 1, None) for k, s in enumerate("abc")] + [(k + 9, "v " * 333, None, "abc"[k % 3], 1, None) for k in range(60)]
+    mixed = mixing.mix_sources(docs(spark, rows)).collect()
+    slots = collections.defaultdict(int)
+    for r in mixed:
+        assert r["taken"] == sum(d["take"] for d in r["draws"]) and all(0 <= d["start"] < d["start"] + d["take"] <= r["size"] for d in r["draws"])
+        for d in r["draws"]:
+            slots[d["shard"] * mixing.SHARD_SLOTS + d["place"]] += d["take"]
+    assert sorted(slots) == list(range(len(slots))) and max(slots.values()) == mixing.BLOCK
+    assert sum(n < mixing.BLOCK for n in slots.values()) <= 6
+
+
 def brute_secrets(text):
     found = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
