@@ -50,6 +50,8 @@ _add(
     "raw AS (SELECT count(*) + count(*) FILTER (o_orderkey % 25 = 0) AS n, count(*) FILTER (o_orderkey % 25 = 0) AS d FROM orders)",
 )
 _add("audit_kyc_missing", lambda t: t["kyc_audit"].where("issue = 'kyc missing values after cleaning'").select("column", "numerator", "denominator"), 'SELECT "column", numerator, denominator FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM kyc) ON COLUMNS(*) INTO NAME "column" VALUE numerator), (SELECT count(*) AS denominator FROM kyc)')
+_add("audit_transactions", lambda t: t["transactions_audit"], None)
+_add("audit_kyc", lambda t: t["kyc_audit"], None)
 _add("audit_merchants", lambda t: t["merchants_audit"], None)
 _add("audit_chargebacks", lambda t: t["chargebacks_audit"], None)
 _add(

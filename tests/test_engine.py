@@ -150,6 +150,39 @@ def test_queries_match_duckdb(spark, sf_dir):
         assert got == sorted((tuple(flat(row[i]) for i in at) for row in found.fetchall()), key=repr), name
 
 
+def test_whole_audits_of_transactions_and_kyc(spark, sf_dir):
+    import re
+
+    from tessera.plans.pipeline import from_driver_tables
+    from tessera.plans.queries import QUERIES
+    from tessera.sources.adapters import raw_tables
+
+    ids = {"transactions": {"txn_id": "TXN", "user_id": "USR", "merchant_id": "MCH", "utr": "UTR"}, "kyc": {"user_id": "USR"}}
+    valid = {"transactions": {"invalid MCC": ("mcc", "mcc_valid")}, "kyc": {"invalid PAN": ("pan", "pan_valid"), "invalid Aadhaar": ("aadhaar", "aadhaar_valid")}}
+    flags = {"parse_failure_flag": None, "invalid_flag": "invalid negative monetary values", "unmapped_flag": "unmapped category values"}
+    for name in ids:
+        raw = raw_tables(spark, sf_dir)[name].collect()
+        rows = from_driver_tables(spark, sf_dir)[f"{name}_cleaned"].collect()
+        once = set(raw)
+        want = {("exact duplicates removed", "ALL"): (len(raw) - len(once), len(raw))}
+        for c in rows[0].asDict():
+            nulls = sum(r[c] is None for r in rows)
+            want["missing values after cleaning", c] = (nulls, len(rows))
+            for end, issue in flags.items():
+                if c.endswith(f"_{end}"):
+                    of = c.removesuffix(f"_{end}")
+                    kind = issue or ("monetary parse failures" if of in ("amount", "monthly_income") else "timestamp parse failures")
+                    want[kind, of] = (sum(r[c] for r in rows), len(raw))
+            if c in ids[name]:
+                plain = sum(bool(re.fullmatch(ids[name][c] + "[0-9]+", r[c].strip())) for r in once if r[c])
+                want["ID standardization", c] = (len(rows) - nulls - plain, len(raw))
+                want["missing identifier", c] = (nulls, len(rows))
+        for issue, (c, ok) in valid[name].items():
+            want[issue, c] = (sum(r[c] is not None and not r[ok] for r in rows), len(raw))
+        got = {(r["issue"].removeprefix(f"{name} "), r["column"]): (r["numerator"], r["denominator"]) for r in QUERIES[f"audit_{name}"](spark, sf_dir).collect()}
+        assert got == want
+
+
 def test_whole_components_cover_all_observed_pairs(spark, sf_dir):
     from tessera.plans.pipeline import from_driver_tables
     from tessera.plans.queries import QUERIES
