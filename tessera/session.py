@@ -46,6 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ROWS_A_TASK = 200_000  #: rows of a settled table below which tasks are joined
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """As ``cut`` for tables of narrow rows (ids and links): small ones come back in as few partitions as their rows need."""
+    done = cut(df)
+    rows, parts = done.count(), done.rdd.getNumPartitions()
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+    return done.coalesce(wanted) if wanted < parts else done
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may be gone
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
