@@ -7,13 +7,16 @@ a high Jaccard similarity closely. A pair is a candidate when a band agrees and
 estimate reaches ``SLACK`` below the threshold (five standard errors); candidates are confirmed
 on the full shingle sets of their texts.
 
-Large groups never become all pairs. Exact copies of a set collapse to one representative.
-Then each bucket elects a hub (the member that shares most buckets with others, so the original
-of a family of edits), and members are confirmed against their hubs only. What hubs leave apart
-is compared across components: inside small buckets directly; in large ones, shingles that no other
-member has bound what a document can share, which settles heavily edited copies, and the rest meet
-through pairs of agreeing bands, with the sketch test in the join condition. A pair at the threshold misses all
-bands with probability below 3e-7; nothing is capped.
+Large groups never become all pairs. Exact copies of a set collapse to one representative. Each
+bucket of a band elects a hub (the member that shares most buckets with others, so the original of
+a family of edits), and every member is compared with the best known hub of its buckets: one pair a
+member. What hubs leave apart, members of buckets that still hold several components, meets by
+prefixes instead of by bucket: shingles in one order, rare ones first, of which two sets at the
+threshold share one so early that what follows it can still reach the threshold (Bayardo, Ma and
+Srikant, 2007; Xiao and others, 2008). That is exact for every pair with an agreeing band, whatever
+the size of the bucket, and a list of a common shingle is dropped as soon as all its members are of
+one component or too late in the order. A pair at the threshold misses all bands with probability
+below 3e-7; nothing is capped.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.llm.text import hash64, words_of
 from tessera.operators.components import connected_components
-from tessera.session import cut
+from tessera.session import cut, cut_table, settled
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
@@ -34,7 +37,6 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS, SKETCH_LONGS = 512, 8
 SLACK = 0.20
 BROADCAST_IDS = 500_000  #: document ids (8 bytes each) that may be sent to every executor
-WIDE = 64  #: members from which a bucket is compared through pairs of bands
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -162,18 +164,39 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
-    pairs = cut(pairs)
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    pairs = settled(pairs)
+    texts = texts_of(docs, pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"))
     full = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a long, b long").distinct()
+    return full.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a long, b long")
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches don't rule out."""
-    x = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    y = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    near = _xor_bits("sa", "sb") <= most_odd_bits(PERCENT / 100 - SLACK)
-    return pairs.join(x, "a").join(y, "b").where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & near).select("a", "b").distinct()
+def _sketches_agree(a: str = "sa", b: str = "sb") -> Column:
+    return _xor_bits(a, b) <= most_odd_bits(PERCENT / 100 - SLACK)
+
+
+def set_classes(signed: DataFrame) -> DataFrame:
+    """One row per distinct set: set_a, set_b, n_shingles, rep (smallest doc_id), top, bands, sketch."""
+    held = signed.where("n_shingles > 0 and doc_id is not null")
+    return held.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+
+
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """(key, id, fame, neg): members of the buckets of two and more; fame is how many members the buckets of an id have."""
+    banded = reps.select(F.explode("bands").alias("key"), "id")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    by_id = banded.join(shared, "key").groupBy("id").agg(F.sum("c").alias("fame"), F.collect_list("key").alias("keys"))  # 40 keys an id
+    return by_id.select(F.explode("keys").alias("key"), "id", "fame", (-F.col("id")).alias("neg"))
+
+
+def hub_pairs(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): every member and the best known hub of its buckets, if sizes and sketches allow a link."""
+    hubs = members.groupBy("key").agg(F.max(F.struct("fame", "neg")).alias("hub"))
+    best = members.join(hubs, "key").where("neg <> hub.neg").groupBy("id").agg(F.max("hub").alias("hub"))
+    pairs = best.select(F.col("id").alias("a"), (-F.col("hub.neg")).alias("b"))
+    x = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
+    y = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    sized = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    return pairs.join(x, "a").join(y, "b").where(sized & _sketches_agree()).select("a", "b")
 
 
 def _list_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,75 +208,68 @@ def _list_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(np.int64), [len(x) for x in sets]), "s": np.concatenate(sets).view(np.int64)})
 
 
-def shared_counts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, own): how many shingles of each of these documents no other of them has."""
-    rows = texts_of(docs, ids.select("id").distinct()).mapInPandas(_list_shingles, "id long, s long")
-    alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
-    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-
-
-def _mixed(placed: DataFrame) -> DataFrame:
-    """Buckets with members of several components, with their sizes."""
-    return placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("key", F.col("c").alias("size"))
+def _can_reach(overlap: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m that share ``overlap`` reach the threshold."""
+    return (100 + PERCENT) * overlap >= PERCENT * (n + m)
 
 
-def near_duplicate_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all documents whose sets reach the threshold.
+def prefix_pairs(apart: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): pairs across components among ``apart`` (id, comp) that prefixes, sizes and sketches don't rule out.
 
-    Rows of one set link to its smallest doc_id; between sets there are as many confirmed links
-    as their components need.
+    The shingles of a set are numbered from the rarest (among ``apart``). The first one that two sets
+    share, at places p and q, leaves room for n - p and m - q shared ones. (An id with several texts
+    has the shingles of all, which only leaves it more room.)
     """
-    held = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = held.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
-    copies = held.join(classes.where("top > rep"), ["set_a", "set_b", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    one = classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b", "n_shingles")
-    reps = held.join(one, ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi").select("doc_id", "n_shingles", "bands", "sketch")
-    banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = cut(banded.join(shared, "key"))
-    fame = members.groupBy("id").agg(F.sum("c").alias("fame"))
-    known = members.join(fame, "id")
-    hubs = known.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("neg"))).alias("h")).select("key", (-F.col("h.neg")).alias("hub"))
-    to_hub = members.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    first = cut(confirm(_alike(to_hub, reps), docs))
+    rows = settled(texts_of(docs, apart.select("id")).mapInPandas(_list_shingles, "id long, s long"))
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = Window.partitionBy("id")
+    numbered = rows.join(common, "s").withColumn("k", F.row_number().over(own.orderBy("c", "s"))).withColumn("all", F.count(F.lit(1)).over(own))
+    known = numbered.join(reps.select("id", "n_shingles", "sketch"), "id").join(apart, "id")
+    room = F.col("all") - F.col("k") + 1  # the shingles from this one on; those that no other set has came before
+    early = known.withColumn("room", room).where(100 * F.col("room") >= PERCENT * F.col("n_shingles")).select("s", "id", "comp", "n_shingles", "room", "sketch")
+    placed = cut_table(early)
+    least = placed.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n_shingles").alias("least")).where("lo <> hi").select("s", "least")
+    able = placed.join(least, "s").where(_can_reach(F.col("room"), F.col("n_shingles"), F.col("least")))
+    lead = able.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max(F.struct("c", "comp")).alias("lead"), F.count(F.lit(1)).alias("comps"))
+    mixed = able.join(lead.where("comps > 1").select("s", F.col("lead.comp").alias("lead")), "s")
+    x = mixed.where("comp <> lead").select("s", F.col("id").alias("i"), F.col("comp").alias("ci"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"), F.col("room").alias("ra"))
+    y = mixed.select(F.col("s").alias("t"), F.col("id").alias("j"), F.col("comp").alias("cj"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"), F.col("room").alias("rb"))
+    close = (F.col("s") == F.col("t")) & (F.col("ci") != F.col("cj")) & _can_reach(F.least("ra", "rb"), F.col("na"), F.col("nb")) & _sketches_agree()
+    return x.join(y, close).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
+def near_duplicate_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between representatives of sets that connect all that reach the threshold.
+
+    There are as many confirmed links as the components need, at most.
+    """
+    reps = classes.select(F.col("rep").alias("id"), "n_shingles", "bands", "sketch")
+    members = settled(bucket_members(reps))
+    first = settled(confirm(hub_pairs(members, reps), docs))
     parts = connected_components(first, "a", "b").withColumnsRenamed({"node": "id"})
-    placed = cut(members.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")))
-    left = cut(placed.join(_mixed(placed), "key"))
-    figures = reps.select(F.col("doc_id").alias("id"), "sketch", "n_shingles")
-    narrow = left.where(F.col("size") <= WIDE).join(figures, "id").select("key", "id", "comp", "sketch", "n_shingles", F.col("n_shingles").alias("common"))
-    # in wide buckets, shingles that no other of their members has are in no intersection among them, so they bound every similarity
-    wide = left.where(F.col("size") > WIDE)
-    bounded = figures.join(shared_counts(wide, docs), "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
-    able = cut(wide.select("key", "id", "comp").join(bounded.where(100 * F.col("common") >= PERCENT * F.col("n_shingles")).drop("own"), "id"))
-    apart = able.join(_mixed(able).select("key"), "key", "left_semi")
-    twice = apart.join(reps.select(F.col("doc_id").alias("id"), "bands"), "id").select(F.explode("bands").alias("other"), "key", "id", "comp", "sketch", "n_shingles", "common").where("other <> key")
-    keyed = narrow.unionByName(twice.select(F.xxhash64("key", "other").alias("key"), "id", "comp", "sketch", "n_shingles", "common"))
-    x = keyed.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"), F.col("common").alias("ma"))
-    y = keyed.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"), F.col("common").alias("mb"))
-    most = F.least("ma", "mb")
-    close = (
-        (F.col("key") == F.col("k2"))
-        & (F.col("a") < F.col("b"))
-        & (F.col("ca") != F.col("cb"))
-        & (100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
-        & (_xor_bits("sa", "sb") <= most_odd_bits(PERCENT / 100 - SLACK))
-    )
-    second = confirm(x.join(y, close).select("a", "b").distinct(), docs)
-    return copies.unionByName(first).unionByName(second)
+    placed = settled(members.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    apart = settled(placed.join(mixed, "key").groupBy("id").agg(F.min("comp").alias("comp")))
+    return first.unionByName(confirm(prefix_pairs(apart, reps, docs), docs))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    Null or blank text: no shingles, linked with nothing, kept. Rows that share a doc_id are one
-    node. A null doc_id is linked with nothing: component_id is null, kept is true. Other columns
-    of ``docs`` are not read. An empty table gives an empty result.
+    Null or blank text: no shingles, linked with nothing, kept. Rows that share a doc_id and have
+    words are one node. A null doc_id is linked with nothing: component_id is null, kept is true.
+    Other columns of ``docs`` are not read. An empty table gives an empty result.
     """
-    signed = cut(signatures(docs))
-    parts = connected_components(near_duplicate_links(docs, signed), "a", "b").withColumnsRenamed({"node": "doc_id"})
-    return (
-        signed.select("doc_id", "n_shingles")
-        .join(parts, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    signed = cut_table(signatures(docs))
+    classes = cut_table(set_classes(signed))
+    links = near_duplicate_links(docs, classes)
+    worded = signed.where("n_shingles > 0 and doc_id is not null")
+    sets = F.struct("set_a", "set_b", "n_shingles")
+    again = worded.groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).where("lo <> hi").select("doc_id")
+    key = ["set_a", "set_b", "n_shingles"]
+    one_node = worded.join(again, "doc_id", "left_semi").join(classes.select(*key, "rep"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    parts = connected_components(links.unionByName(one_node), "a", "b").withColumnRenamed("node", "rep")
+    groups = classes.select(*key, "rep", "top").join(parts, "rep", "left").where("component is not null or top > rep").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    found = signed.select("doc_id", *key).join(groups, key, "left")
+    linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "n_shingles", linked.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -86,18 +86,33 @@ def test_near_duplicates_match_brute_force(spark, corpus):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(shingles(t)) for i, t in rows}
 
 
-def test_wide_buckets_stay_exact(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "WIDE", 4)
+def test_prefixes_lose_no_link(spark):
+    """Every pair at the threshold is a candidate, also where no hub joined any and all share their common shingles."""
     rng = random.Random(6)
     base = [f"w{i}" for i in range(120)]
     rows = []
     for i in range(120):
-        w = list(base)
+        w = list(base[: rng.randrange(100, 121)])
         for _ in range(rng.randrange(8)):
             w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
         rows.append((i, " ".join(w)))
-    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows)
+    rows += [(200 + i, f"p{i} q{i} r{i} " + rows[i][1][:300]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = near_dups.set_classes(near_dups.signatures(df)).select(F.col("rep").alias("id"), "n_shingles", "bands", "sketch")
+    got = {(r["a"], r["b"]) for r in near_dups.prefix_pairs(reps.select("id", F.col("id").alias("comp")), reps, df).collect()}
+    kept = {r["id"] for r in reps.collect()}
+    sets = {i: shingles(t) for i, t in rows if i in kept}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(want) > 500 and want <= got and len(got) < len(sets) * (len(sets) - 1) / 3
+    found = near_dups.near_duplicates(df).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute_components(rows)
+
+
+def test_near_duplicates_of_one_id_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "h i j k l m n", "x"), (2, "a b c d e f g", None), (3, "H I j k l m n", "y"), (4, "", "y"), (4, "o p q", "y"), (5, "o p q", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumns({c: F.lit(7) for c in ("component_id", "set_a", "bands", "rep", "n_shingles", "key", "id")})
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 4, False)]
 
 
 def test_odd_sketch_estimates_high_similarity():
