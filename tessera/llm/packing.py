@@ -20,11 +20,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm.text import WordMap
 from tessera.session import cut
 
 CAPACITY, END_ID = 2048, 0
 BUCKET_ROWS = 500_000
+BROADCAST_ROWS = 200_000  #: rows of a plan (60 bytes each) that may be sent to every executor
 
 
 def default_tokenizer() -> str:
@@ -33,49 +33,107 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_ENCODERS: dict[str, WordMap] = {}
 #: a word of Latin letters with marks after it: the vocabulary's splitter cuts it there, so both parts are encoded for themselves
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()]+)")
+APART = "\x01"  #: stands between words that are encoded together; words that hold it go alone
+TOGETHER, HELD_WORDS, GROUP_BYTES = 4096, 500_000, 1 << 20
 
 
-def encoder(path: str) -> WordMap:
-    """word (UTF-8) -> its ids as little-endian uint32.
+class WordEncoder:
+    """Ids of words as little-endian uint32, remembered.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its
-    words in order.
+    words in order. Unknown words are encoded many at a time.
     """
-    if path not in _ENCODERS:
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        parts = WordMap(lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), most=500_000)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        def ids(word: bytes) -> bytes:
-            text = word.decode("utf-8", "replace")
+        self.tok = Tokenizer.from_file(path)
+        self.apart = self._ids(APART)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        alone = [p for p in parts if APART in p or len(self.apart) != 1]
+        for p in alone:
+            self.parts[p] = self._ids(p).tobytes()
+        rest = [p for p in parts if p not in self.parts]
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
+            ids = self._ids(f" {APART} ".join(some))
+            ends = np.append(np.flatnonzero(ids == self.apart[0]), len(ids)) * 4
+            data, start = ids.tobytes(), 0
+            for p, end in zip(some, ends.tolist(), strict=True):
+                self.parts[p] = data[start:end]
+                start = end + 4
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make all of these words known."""
+        if len(self.words) > HELD_WORDS:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        if len(self.parts) > HELD_WORDS:
+            self.parts.clear()
+        cuts = []
+        for w in new:
+            text = w.decode("utf-8", "replace")
             marked = _MARKED.fullmatch(text)
-            parts.trim()
-            return parts[marked[1]] + parts[marked[2]] if marked else parts[text]
+            cuts.append((marked[1], marked[2]) if marked else (text,))
+        self._learn_parts(list({p for c in cuts for p in c if p not in self.parts}))
+        for w, c in zip(new, cuts, strict=True):
+            self.words[w] = self.parts[c[0]] if len(c) == 1 else self.parts[c[0]] + self.parts[c[1]]
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        known = self.words
+        try:
+            return [b"".join(map(known.__getitem__, words)) for words in texts]
+        except KeyError:
+            self.learn({w for words in texts for w in words})
+            return [b"".join(map(known.__getitem__, words)) for words in texts]
+
 
-        _ENCODERS[path] = WordMap(ids, most=500_000)
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
+def _groups(texts: list[str | None], most: int = GROUP_BYTES):
+    """(first row, words of each text) of runs of texts of about ``most`` bytes."""
+    group, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        raw = text.encode("utf-8", "replace") if text else b""
+        # the vocabulary is of lower case, but its special tokens are not
+        group.append((raw if b"<|" in raw else raw.lower()).split())
+        size += len(raw)
+        if size >= most:
+            yield first, group
+            group, size, first = [], 0, i + 1
+    if group:
+        yield first, group
+
+
 def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                raw = text.encode("utf-8", "replace") if text else b""
-                # the vocabulary is of lower case, but its special tokens are not
-                words = (raw if b"<|" in raw else raw.lower()).split()
-                data = b"".join(map(ids_of.__getitem__, words)) + end
-                ids_of.trim()
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if keep_ids else ()))
+            doc_ids = batch["doc_id"].astype("Int64").tolist()
+            for first, group in _groups(batch["text"].tolist()):
+                for doc_id, data in zip(doc_ids[first:], encode(group), strict=False):
+                    data += end
+                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if keep_ids else ()))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
@@ -220,8 +278,9 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = held.withColumn("place", F.row_number().over(own) - 1).join(starts, ["length", "bucket"]).withColumn("rank", F.col("place") + F.col("base"))
     rows = plan(histogram, capacity)
+    # the plan has a few rows a length: it grows with the capacity, not with the documents; a larger one is joined by shuffle
     slots = docs.sparkSession.createDataFrame(rows or [(0, 0, 0, 1, 0, 0)], "slot_length long, first long, until long, times long, sequence0 long, offset0 long")
-    found = ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("until")))
+    found = ranked.join(F.broadcast(slots) if len(rows) <= BROADCAST_ROWS else slots, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("until")))
     step = F.col("rank") - F.col("first")
     return found.select(
         "doc_id",
