@@ -1,13 +1,16 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 The words of a source, its documents end to end by doc_id buckets, are cut into blocks of
-``block`` words. A target gives whole passes over all blocks plus a part of one more pass. Each pass
-orders its blocks by a pseudorandom index permutation of its own (the swap-or-not shuffle of Hoang,
-Morris and Rogaway, 2012, which works on any number of blocks), so slot j of a source names
-block pi(j); one more permutation, of all slots, deals them to output shards. A shard's source
-counts are therefore a multinomial draw under the condition that the totals meet the targets
-exactly; free draws would miss small sources by the square root of their slots. Slots meet
-documents in a join on (source, block index).
+``block`` words. A target gives whole passes over all blocks plus a part of one more pass, so a
+number of slots; slot j of a source names block pi(j), where every pass has a pseudorandom index
+permutation of its own (the swap-or-not shuffle of Hoang, Morris and Rogaway, 2012, which works on
+any number of blocks). Output shards hold ``shard_slots`` slots each. How many of them go to each
+source is a multinomial draw, independent for every shard, with the sources' shares of all slots as
+probabilities. Over all shards a source is so drawn more or less often than it has slots, by about
+the square root of them; the draws over its slots, its last ones, go to the sources that were drawn
+too seldom, so totals meet the targets exactly and all but these few slots are as drawn. The slots
+of a shard follow each other by the source's running count over shards, and take places in the
+shard by a permutation. Slots meet documents in a shuffled join on (source, block index).
 """
 
 from __future__ import annotations
@@ -21,7 +24,14 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
 BLOCK, SHARD_SLOTS, SEED = 256, 4096, 20240611
 ROUNDS = 12
-CHUNK_DOCS, CHUNK_SLOTS = 20_000, 4096
+CHUNK_DOCS = 20_000
+BROADCAST_SOURCES = 100_000
+TASK_SHARDS, TASK_SLOTS, RUN_SHARDS = 16, 30_000, 4096
+
+
+def _small(sources: DataFrame) -> DataFrame:
+    """A table of a row a source, to be joined: sent to every executor up to ``BROADCAST_SOURCES`` rows, else by a shuffled merge."""
+    return F.broadcast(sources) if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else sources.hint("merge")
 
 
 def permuted(x: Column, n: Column, *keys: Column) -> Column:
@@ -56,36 +66,79 @@ def mixture_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return filled.withColumn("target", target).select("source", "idx", "source_size", "weight", "target")
 
 
-def mixture_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """One row per slot: idx, pass, block, take (its first words that count), shard, place."""
+def source_slots(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per source with a target: idx, source_size, full (whole blocks), blocks, passes, rest, slots, base (slots before it)."""
     size, goal = F.col("source_size"), F.round("target").cast("long")
     src = targets.where("source_size > 0").select(
         "idx", "source_size", F.expr(f"source_size div {block}").alias("full"), F.ceil(size / block).cast("long").alias("blocks"), F.least(goal, 2 * size).alias("goal")
     )
     src = src.withColumn("passes", F.expr("goal div source_size")).withColumn("rest", F.expr("goal - passes * source_size"))
     src = src.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block)).where("slots > 0")
-    src = src.withColumn("base", F.coalesce(F.sum("slots").over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    src = src.withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
-    spread = src.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK_SLOTS).cast("long")))).repartition("idx", "from")
-    slots = spread.withColumn("j", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK_SLOTS, F.col("slots")) - 1)))
-    slots = slots.withColumn("pass", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
+    return src.withColumn("base", F.coalesce(F.sum("slots").over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def _source_of(at: Column, ranges: Column, steps: int) -> Column:
+    """idx of the last of the (base, idx) ranges that begins at or below ``at``, by binary search."""
+
+    def step(low: Column, k: Column) -> Column:
+        return F.when(F.coalesce(F.get(ranges, low + k)["base"] <= at, F.lit(False)), low + k).otherwise(low)
+
+    return F.get(ranges, F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(steps))]), F.lit(0), step))["idx"]
+
+
+def shard_counts(src: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, idx, drawn, shard_size: a multinomial draw of source counts for every output shard."""
+    spark = src.sparkSession
+    sums = src.agg(F.sum("slots").alias("n"), F.count(F.lit(1)).alias("sources")).first()
+    total = sums["n"] or 0
+    shards = -(-total // shard_slots)
+    steps = max(1, sums["sources"].bit_length())
+    ranges = src.agg(F.sort_array(F.collect_list(F.struct("base", "idx"))).alias("ranges"))  # one row, an entry a source
+    each = spark.range(0, shards, 1, max(1, min(shards, max(spark.sparkContext.defaultParallelism, shards // TASK_SHARDS)))).withColumnRenamed("id", "shard")
+    each = each.withColumn("shard_size", F.least(F.lit(shard_slots).cast("long"), F.lit(total) - F.col("shard") * shard_slots)).withColumn("ranges", ranges.scalar())
+    draw = F.pmod(F.xxhash64(F.lit(SEED + 2), "shard", "i"), F.lit(max(1, total)).cast("long"))
+    drawn = each.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shard_size") - 1))).select("shard", "shard_size", _source_of(draw, F.col("ranges"), steps).alias("idx"))
+    return drawn.groupBy("shard", "idx").agg(F.count(F.lit(1)).alias("drawn"), F.min("shard_size").alias("shard_size"))
+
+
+def mixture_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row per slot: idx, pass, block, take (its first words that count), shard, place."""
+    src = source_slots(targets, block)
+    counts = cut(shard_counts(src, shard_slots))
+    runs = counts.withColumn("run", F.expr(f"shard div {RUN_SHARDS}"))
+    earlier = Window.partitionBy("idx").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    bases = runs.groupBy("idx", "run").agg(F.sum("drawn").alias("n")).select("idx", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("run_at"))
+    own = Window.partitionBy("idx", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    begun = runs.withColumn("own_at", F.coalesce(F.sum("drawn").over(own), F.lit(0))).join(bases, ["idx", "run"]).withColumn("first", F.col("run_at") + F.col("own_at"))
+    begun = begun.withColumn("in_shard", F.coalesce(F.sum("drawn").over(inside), F.lit(0)))
+    order = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    totals = src.select("idx", "slots").join(counts.groupBy("idx").agg(F.sum("drawn").alias("all_drawn")), "idx", "left").withColumn("all_drawn", F.coalesce("all_drawn", F.lit(0)))
+    over, short = F.greatest(F.col("all_drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("all_drawn"), F.lit(0))
+    evened = totals.withColumn("over_at", F.coalesce(F.sum(over).over(order), F.lit(0))).withColumn("short", short).withColumn("short_at", F.coalesce(F.sum(short).over(order), F.lit(0)))
+    evened = cut(evened)  # a row a source
+    parts = max(begun.sparkSession.sparkContext.defaultParallelism, (evened.agg(F.sum("slots")).first()[0] or 0) // TASK_SLOTS)
+    drawn = begun.join(_small(evened.select("idx", "slots", "over_at")), "idx").repartition(parts, "shard", "idx")
+    drawn = drawn.withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)))
+    drawn = drawn.withColumn("place", permuted(F.col("in_shard") + F.col("j") - F.col("first"), F.col("shard_size"), F.lit("place"), F.col("shard")))
+    kept = drawn.where("j < slots").select("idx", "j", "shard", "place")
+    # draws beyond a source's slots, numbered over all sources, take the open slots of others, numbered alike
+    moved = drawn.where("j >= slots").select((F.col("over_at") + F.col("j") - F.col("slots")).alias("q"), "shard", "place")
+    open_ = evened.where("short > 0").select("idx", F.explode(F.sequence(F.col("all_drawn"), F.col("slots") - 1)).alias("j"), "all_drawn", "short_at")
+    open_ = open_.select("idx", "j", (F.col("short_at") + F.col("j") - F.col("all_drawn")).alias("q"))
+    every = kept.unionByName(moved.join(open_, "q").select("idx", "j", "shard", "place"))
+    slots = every.join(_small(src.drop("slots", "base")), "idx").withColumn("pass", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
     # the one short block of a source keeps the last place of a pass, so word totals come out exactly
     slots = slots.withColumn("block", F.when(F.col("i") < F.col("full"), permuted(F.col("i"), F.col("full"), F.col("idx"), F.col("pass"))).otherwise(F.col("i")))
-    whole = F.least(F.lit(block).cast("long"), size - F.col("block") * block)
+    whole = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block)
     take = F.when(F.col("pass") < F.col("passes"), whole).otherwise(F.least(F.lit(block).cast("long"), F.col("rest") - F.col("i") * block))
-    dealt = permuted(F.col("base") + F.col("j"), F.col("all_slots"), F.lit("deal"))
-    return slots.withColumn("take", take).withColumn("dealt", dealt).select("idx", "pass", "block", "take", F.expr(f"dealt div {shard_slots}").alias("shard"), F.expr(f"dealt % {shard_slots}").alias("place"))
-
-
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """How many slots of each source each output shard got."""
-    return slots.groupBy("shard", "idx").agg(F.count(F.lit(1)).alias("slots"))
+    return slots.select("idx", "pass", "block", take.alias("take"), "shard", "place")
 
 
 def placed_documents(sized: DataFrame, targets: DataFrame, *ids: str) -> DataFrame:
     """(doc_id, size) rows with their source's figures and ``at``, their first word in the source; ``ids`` break ties."""
     chunks = max(8, -(-sized.count() // CHUNK_DOCS))
-    held = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop("source", "weight").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    held = sized.join(_small(targets), sized["source"].eqNullSafe(targets["source"])).drop("source", "weight").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     before = Window.partitionBy("idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = held.groupBy("idx", "chunk").agg(F.sum("size").alias("n")).select("idx", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("chunk_at"))
     own = Window.partitionBy("idx", "chunk").orderBy("doc_id", "size", *ids).rowsBetween(Window.unboundedPreceding, -1)
@@ -110,7 +163,8 @@ def mix_draws(docs: DataFrame, block: int = BLOCK, *ids: str) -> DataFrame:
     got = F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("take")) - first
     # least() skips the null of a block that wasn't drawn
     draw = F.when(F.col("take").isNotNull() & (got > 0), F.struct("pass", (first - F.col("at")).alias("start"), got.alias("take"), "block", "shard", "place"))
-    drawn = parts.join(slots, ["idx", "block"], "left").withColumn("draw", draw)
+    # both sides grow with the corpus, which the planner can't see behind explode()
+    drawn = parts.join(slots.hint("merge"), ["idx", "block"], "left").withColumn("draw", draw)
     keys = ["doc_id", *ids, "size", "source_size", "target"]
     held = drawn.groupBy("idx", "at", *keys).agg(F.sort_array(F.collect_list("draw")).cast(DRAWS).alias("draws"))
     blank = placed.where("size = 0").select(*keys, F.array().cast(DRAWS).alias("draws"))
