@@ -2,9 +2,12 @@
 
 Base kinds are found by their patterns. The method adds spans of kind ``entropy``: candidate
 strings are read by a sliding window of ``WINDOW`` characters whose Shannon entropy is kept by
-incremental counts (each step takes one character out and one in, and corrects the sum of
-c*log2(c) by the counts of these two alone). A candidate whose highest window reaches the threshold
-of its character class is reported, unless an allow-list pattern covers it or a base span holds it.
+incremental counts: the counts of all characters of the window are carried along, each step takes
+one character out and one in and corrects the sum of c*log2(c) by the counts of these two alone. A
+candidate whose highest window reaches the threshold of its character class (digits, hexadecimal,
+letters, all) is reported, unless an allow-list pattern covers it or a base span holds it. Letters in
+one case, or in words of two and more lower-case letters, are on the allow-list: by entropy they
+can't be told from long words.
 """
 
 from __future__ import annotations
@@ -20,16 +23,19 @@ HEX = r"[0-9a-f]{24,}"  # runs are maximal, so shorter ones can be left out at o
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: highest window entropy in bits from which a candidate of a character class counts
-THRESHOLDS = (("digits", r"\A[0-9]+\z", None), ("hex", r"\A[0-9a-fA-F]+\z", 3.0), ("base64", r"\A[A-Za-z0-9+/_=-]+\z", 3.6))
-#: strings that are never secrets: identifiers in lower or title case, paths, UUIDs, words, examples
+THRESHOLDS = (("digits", r"\A[0-9]+\z", 2.6), ("hex", r"\A[0-9a-fA-F]+\z", 3.0), ("letters", r"\A[A-Za-z]+\z", 3.75), ("all", r"\A[A-Za-z0-9+/_=-]+\z", 3.6))
+_WORDS = r"(?:[A-Z]++|[A-Z]{0,4}[a-z]{2,}+(?:[A-Z]{1,4}[a-z]{2,}+)*+[A-Z]{0,4}|[a-z])"
+#: strings that are never secrets: words and identifiers in one case or camel case, with a short number; such parts joined; UUIDs; examples
 ALLOW = (
-    r"\A[A-Za-z]+\z",
-    r"\A[A-Za-z]*[a-z]+[0-9]{0,4}\z",
-    r"\A(?:[A-Za-z]+|[0-9]{1,8})(?:[-_/=+](?:[A-Za-z]+|[0-9]{1,8})?)+\z",
+    rf"\A{_WORDS}[0-9]{{0,4}}\z",
+    rf"\A[-_/=+]*(?:{_WORDS}|[0-9]{{1,8}})(?:[-_/=+](?:{_WORDS}|[0-9]{{1,8}})?)+\z",
     r"\A[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z",
-    r"(?i)example|sample|placeholder|xxxx|0123456789|abcdefgh",
+    r"(?i)example|sample|placeholder|xxxx|0123456789|1234567890|9876543210|abcdefgh",
     r"\A(.)\1+\z",
 )
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+COUNT_BITS, COUNTS_A_WORD = 5, 12  #: a count of a window is below 32; twelve of them are kept in one long
+RUN = 256  #: matches whose lengths are added up one by one
 
 
 def let(value: Column, body) -> Column:
@@ -37,10 +43,25 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda n, x: n + x)
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums, by runs of ``RUN`` so that long arrays cost little more than their length."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int")), lambda b: _total(F.slice(lengths, b * RUN + 1, F.lit(RUN))))
+    begun = let(runs, lambda r: F.transform(r, lambda _, b: _total(F.slice(r, F.lit(1), b))))
+    return let(begun, lambda at: F.transform(lengths, lambda _, i: F.get(at, F.floor(i / RUN).cast("int")) + _total(F.slice(lengths, F.floor(i / RUN).cast("int") * RUN + 1, i % RUN + 1))))
+
+
 def _starts(text: Column, pattern: str, matches: Column) -> Column:
-    """Code points before each match: those of the pieces and matches to its left."""
+    """Code points before each match (of one at least): those of the pieces and matches to its left."""
     pieces = F.split(text, pattern, -1)
-    return let(F.struct(pieces.alias("p"), matches.alias("m")), lambda v: F.transform(v["m"], lambda _, i: F.length(F.array_join(F.slice(v["p"], 1, i + 1), "")) + F.length(F.array_join(F.when(i > 0, F.slice(v["m"], 1, F.greatest(i, F.lit(1)))).otherwise(F.slice(v["m"], 1, 0)), ""))))
+
+    def steps(v: Column) -> Column:
+        return F.transform(F.slice(v["p"], F.lit(1), F.size(v["m"])), lambda x, i: F.length(x) + F.coalesce(F.length(F.get(v["m"], i - 1)), F.lit(0)))
+
+    return let(let(F.struct(pieces.alias("p"), matches.alias("m")), steps), _running)
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
@@ -66,24 +87,42 @@ def _term(c: Column) -> Column:
 
 
 def top_window_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy, in bits a character, of any window of the candidate (-1 if shorter)."""
+    """Highest Shannon entropy, in bits a character, of any window of the candidate (-1 if shorter).
 
-    def scan(chars: Column) -> Column:
-        def count(at: Column, n: Column, char: Column) -> Column:
-            near = F.slice(chars, F.greatest(at, F.lit(1)), F.greatest(n, F.lit(0)))
-            return F.size(near) - F.size(F.array_remove(near, char))
+    For strings of ``ALPHABET`` and windows below 32. The counts of a window are five bits each, in longs.
+    """
+    longs = -(-len(ALPHABET) // COUNTS_A_WORD)
+
+    def unit(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place % COUNTS_A_WORD * COUNT_BITS)
+
+    def scan(places: Column) -> Column:
+        def count(counts: Column, place: Column) -> Column:
+            held = F.get(counts, F.floor(place / COUNTS_A_WORD).cast("int"))
+            return F.call_function("shiftright", held, place % COUNTS_A_WORD * COUNT_BITS).bitwiseAND(F.lit(31))
+
+        def moved(counts: Column, place: Column, by: Column) -> Column:
+            return F.transform(counts, lambda v, k: F.when(k == F.floor(place / COUNTS_A_WORD).cast("int"), v + by * unit(place)).otherwise(v))
 
         def step(acc: Column, i: Column) -> Column:
-            out, new = F.element_at(chars, F.greatest(i - window, F.lit(1))), F.element_at(chars, i)
-            gone = count(i - window, F.lit(window), out)
-            here = count(i - window + 1, F.least(i - 1, F.lit(window - 1)), new)
-            total = acc["sum"] - F.when(i > window, _term(gone) - _term(gone - 1)).otherwise(0.0) + _term(here + 1) - _term(here)
-            bits = F.when(i >= window, F.lit(float(window)) * 0 + F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(-1.0))
-            return F.struct(total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
+            out, new = F.get(places, F.greatest(i - window, F.lit(0))), F.get(places, i)
+            full = F.when(i >= window, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+            gone = count(acc["counts"], out)
+            left = acc["sum"] - F.when(i >= window, _term(gone) - _term(gone - 1)).otherwise(F.lit(0.0))
+
+            def take(counts: Column) -> Column:
+                here = count(counts, new)
+                total = left - _term(here) + _term(here + 1)
+                bits = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(-1.0))
+                return F.struct(moved(counts, new, F.lit(1).cast("long")).alias("counts"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
+
+            return let(moved(acc["counts"], out, -full), take)
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), F.struct(F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best")), step, lambda acc: acc["best"])
+        none = F.array(*[F.lit(0).cast("long")] * longs)
+        first = F.struct(none.alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), first, step, lambda acc: acc["best"])
 
-    return let(F.split(candidate, ""), scan)
+    return let(F.transform(F.split(candidate, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)) - 1), scan)
 
 
 def _is_secret(candidate: Column) -> Column:
@@ -93,8 +132,7 @@ def _is_secret(candidate: Column) -> Column:
     bar = F.lit(None).cast("double")
     for _, pattern, least in reversed(THRESHOLDS):
         bar = F.when(F.regexp_like(candidate, F.lit(pattern)), F.lit(least).cast("double")).otherwise(bar)
-    mixed = F.regexp_like(candidate, F.lit("[0-9]")) & F.regexp_like(candidate, F.lit("[A-Za-z]"))
-    return F.when(allowed | ~mixed, F.lit(False)).otherwise(F.coalesce(top_window_entropy(candidate) >= bar, F.lit(False)))
+    return F.when(allowed, F.lit(False)).otherwise(F.coalesce(top_window_entropy(candidate) >= bar, F.lit(False)))
 
 
 def _entropy_spans(text: Column, base: Column) -> Column:
