@@ -19,7 +19,9 @@ from tessera.llm.text import hash64
 from tessera.session import cut
 
 K, PICK, SKETCHES = 2, 2, 64
-CHUNK_ROWS = 4000
+CHUNK_CHARS = 16 << 20  #: code points of a chunk, unless that makes more than MOST_CHUNKS
+MOST_CHUNKS = 200_000
+KEYS_A_TASK = 2_000_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240613)
@@ -90,7 +92,7 @@ def edited_text(text: str, following: str) -> str:
 
 
 def _print_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (chunk, head, doc_id, text): each is compared with the next row of its chunk."""
+    """Rows of one chunk in order, the first row of the next chunk (``head``) last: each is compared with the row after it."""
     import hashlib
 
     hashes = hash64()
@@ -99,61 +101,88 @@ def _print_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: tuple | None = None
     for batch in batches:
         rows = []
-        for chunk, head, doc_id, text in zip(batch["chunk"], batch["head"], batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+        for head, doc_id, text in zip(batch["head"], batch["doc_id"].astype("Int64"), batch["text"], strict=True):
             text = text or ""
-            now = (chunk, doc_id, text, sign(text))
-            if held is not None and held[0] == chunk:
-                edited = edited_text(held[2], text)
+            now = (doc_id, text, sign(text))
+            if held is not None:
+                edited = edited_text(held[1], text)
                 mark = sign(edited)
-                rows.append((held[1], len(held[2]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), show(held[3]), show(mark), likeness(held[3], mark), likeness(held[3], now[3])))
+                rows.append((held[0], len(held[1]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), show(held[2]), show(mark), likeness(held[2], mark), likeness(held[2], now[2])))
             held = None if head else now
         out = pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
         out["doc_id"] = out["doc_id"].astype("Int64")
         yield out
 
 
-def _chunk_of(doc_id: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the id, by binary search; null ids come last."""
+_KEY = ["z", "d", "h"]  #: null doc_ids last, doc_id, hash of the text
+_KEY_ROWS = "z int, d long, h long"
 
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(doc_id < bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    return F.when(doc_id.isNull(), F.lit(len(bounds))).otherwise(search(0, len(bounds)))
+def _key_of(docs: DataFrame) -> list[Column]:
+    return [
+        F.col("doc_id").isNull().cast("int").alias("z"),
+        F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("d"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"),
+    ]
 
 
-def fingerprint_neighbours(docs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def _cut_keys(most: int):
+    """Of sorted rows (key, n): the first key, and each one at which ``most`` code points have passed since the last."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        passed, last = most, None
+        for batch in batches:
+            found = []
+            for z, d, h, n in zip(batch["z"].tolist(), batch["d"].tolist(), batch["h"].tolist(), batch["n"].tolist(), strict=True):
+                if passed >= most and (z, d, h) != last:
+                    found.append((z, d, h))
+                    passed = 0
+                passed += n
+                last = (z, d, h)
+            yield pd.DataFrame(found, columns=_KEY)
+
+    return run
+
+
+def chunk_bounds(sizes: DataFrame, chunk_chars: int | None = None) -> list[tuple[int, int, int]]:
+    """Sorted first keys of chunks of about equal text, from (z, d, h, n) rows; the first is the smallest key of all.
+
+    At most about ``MOST_CHUNKS`` and one for every ``KEYS_A_TASK`` rows, as the bounds of any range partitioning.
+    """
+    sums = sizes.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    most = chunk_chars or max(CHUNK_CHARS, (sums["n"] or 0) // MOST_CHUNKS)
+    ranged = sizes.repartitionByRange(max(1, -(-sums["rows"] // KEYS_A_TASK)), *_KEY).sortWithinPartitions(*_KEY)
+    return sorted((r["z"], r["d"], r["h"]) for r in ranged.mapInPandas(_cut_keys(most), _KEY_ROWS).collect())
+
+
+def _chunk_of(bounds: list[tuple[int, int, int]]) -> Column:
+    """Number of the last bound at or below the row's key, by binary search."""
+    values = F.from_json(F.lit("[" + ",".join(f'{{"z":{z},"d":{d},"h":{h}}}' for z, d, h in bounds) + "]"), f"array<struct<{_KEY_ROWS.replace('z int', 'z:int').replace('d long', 'd:bigint').replace('h long', 'h:bigint')}>>")
+    key = F.struct(*_KEY)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(bounds).bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda low, k: F.when(F.coalesce(F.get(values, low + k) <= key, F.lit(False)), low + k).otherwise(low))
+
+
+def fingerprint_neighbours(docs: DataFrame, chunk_chars: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edit by the next document, with their likenesses.
 
-    Rows go in the order of (doc_id, text), nulls of doc_id last; the row after the last is the
-    first, also when it is the only one. Null text counts as empty. Rows that repeat a doc_id follow
-    each other. Equal texts have equal fingerprints. Other columns are not read. An empty table
-    gives an empty result. Texts are shuffled once, into ranges of doc_id.
+    Rows go in the order of doc_id, nulls last, rows that repeat a doc_id by the hash of their text; the
+    row after the last is the first, also when it is the only one. Null text counts as empty. Equal
+    texts have equal fingerprints. Other columns are not read. An empty table gives an empty result.
+    Texts are shuffled once, into ranges of about ``chunk_chars`` code points; rows of a task are
+    streamed. Rows alike in doc_id and text stay in one range.
     """
     held = docs.select(F.col("doc_id").cast("long"), "text")
-    n = held.count()
-    parts = max(1, -(-n // chunk_rows))
-    cuts = [i / parts for i in range(1, parts)]
-    found = held.agg(F.percentile_approx("doc_id", cuts, 100 * parts).alias("b")).first()["b"] if cuts else None
-    bounds = sorted(set(found or []))
-    keyed = held.withColumn("chunk", _chunk_of(F.col("doc_id"), bounds))
-    # the first row of each chunk also closes the chunk before it: one row per chunk
-    first_ids = keyed.groupBy("chunk").agg(F.min("doc_id").alias("doc_id")).collect()
-    order = sorted(r["chunk"] for r in first_ids)
-    before = {c: order[i - 1] for i, c in enumerate(order)}
-    heads = keyed
-    if order:
-        is_first = F.col("doc_id").isin([r["doc_id"] for r in first_ids if r["doc_id"] is not None])
-        if any(r["doc_id"] is None for r in first_ids):
-            is_first = F.coalesce(is_first, F.lit(False)) | F.col("doc_id").isNull()
-        heads = keyed.where(is_first)
-    heads = heads.groupBy("chunk").agg(F.min(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("h"))
-    back = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
-    closing = cut(heads.select("h.doc_id", "h.text", F.element_at(back, F.col("chunk")).alias("chunk"), F.lit(True).alias("head")))
-    rows = keyed.withColumn("head", F.lit(False)).unionByName(closing)
-    sorted_rows = rows.repartition(max(1, len(order)), "chunk").sortWithinPartitions("chunk", "head", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    return sorted_rows.select("chunk", "head", "doc_id", "text").mapInPandas(
+    keyed = held.select("doc_id", "text", *_key_of(held))
+    bounds = chunk_bounds(cut(keyed.select(*_KEY, F.coalesce(F.length("text"), F.lit(0)).alias("n"))), chunk_chars)
+    n = max(1, len(bounds))
+    chunked = keyed.withColumn("chunk", _chunk_of(bounds or [(0, 0, 0)]))
+    # the first row of each chunk also closes the chunk before it, that of the first closes the last
+    firsts = docs.sparkSession.createDataFrame(bounds, _KEY_ROWS)
+    heads = chunked.join(F.broadcast(firsts), _KEY).groupBy("chunk").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("doc_id").alias("doc_id"))
+    closing = cut(heads.select("doc_id", "text", *[F.lit(0).cast(t).alias(c) for c, t in (("z", "int"), ("d", "long"), ("h", "long"))], F.pmod(F.col("chunk") - 1, F.lit(n)).alias("chunk"), F.lit(1).alias("head")))
+    rows = chunked.withColumn("head", F.lit(0)).unionByName(closing)
+    placed = rows.repartitionById(n, F.col("chunk").cast("int")).sortWithinPartitions("head", *_KEY)
+    return placed.select("head", "doc_id", "text").mapInPandas(
         _print_chunk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
