@@ -230,10 +230,93 @@ def test_mixing_edges_and_permutation(spark):
     assert mixing.mix_sources(docs(spark)).count() == len(EDGE) and mixing.mix_sources(docs(spark, [])).count() == 0
     got = [r["p"] for r in spark.range(97).select(mixing.permuted(F.col("id"), F.lit(97), F.lit(3)).alias("p")).collect()]
     assert sorted(got) == list(range(97)) and got != list(range(97))
-    sized = spark.createDataFrame([(i, f"s{i % 3}", 500) for i in range(60)], "doc_id long, source string, size long")
-    slots = mixing.mixture_slots(mixing.mixture_targets(sized), 50, 64)
-    per = mixing.shard_counts(slots).groupBy("shard").agg(F.sum("slots").alias("n")).collect()
-    assert {r["n"] for r in per if r["shard"] < len(per) - 1} == {64}
+
+
+def _hash(seed, *values):
+    """Spark's xxhash64 of longs, ints (given as ("i", n)) and strings."""
+    import struct
+
+    import xxhash
+
+    at = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v)
+        at = xxhash.xxh64_intdigest(raw, at & (2**64 - 1))
+    return at - 2**64 if at >= 2**63 else at
+
+
+def _permuted(x, n, *keys):
+    n = max(n, 1)
+    for r in range(mixing.ROUNDS):
+        other = (_hash(42, ("i", mixing.SEED), ("i", r), *keys) % n - x) % n
+        if _hash(42, ("i", mixing.SEED + 1), ("i", r), max(x, other), *keys) % 2 == 1:
+            x = other
+    return x
+
+
+def brute_mix(rows, goals, block, shard_slots):
+    """Taken words by row number, and source counts by shard; rows are (doc_id, size, source number)."""
+    sizes = collections.Counter()
+    for _, n, s in rows:
+        sizes[s] += n
+    slots, passes, rest = {}, {}, {}
+    for s in sorted(goals):
+        passes[s], rest[s] = divmod(min(goals[s], 2 * sizes[s]), sizes[s])
+        slots[s] = passes[s] * -(-sizes[s] // block) + -(-rest[s] // block)
+    order = [s for s in sorted(slots) if slots[s]]
+    total = sum(slots.values())
+    line = [s for s in order for _ in range(slots[s])]
+    drawn = [[line[_hash(42, ("i", mixing.SEED + 2), h, i) % total] for i in range(min(shard_slots, total - h * shard_slots))] for h in range(-(-total // shard_slots))]
+    seen, over, counts = collections.Counter(), [], []
+    for picks in drawn:
+        counts.append(collections.Counter(picks))
+    for s in order:
+        n = sum(c[s] for c in counts)
+        over += [s] * max(0, n - slots[s])
+        seen[s] = min(n, slots[s])
+    assert sum(slots[s] - seen[s] for s in order) == len(over)
+    take = collections.defaultdict(list)  # (source, block) -> words of each of its slots
+    for s in order:
+        blocks, full = -(-sizes[s] // block), sizes[s] // block
+        for j in range(slots[s]):
+            p, i = divmod(j, blocks)
+            b = _permuted(i, full, ("i", s), p) if i < full else i
+            take[s, b].append(min(block, sizes[s] - b * block) if p < passes[s] else min(block, rest[s] - i * block))
+    chunks = max(8, -(-len(rows) // mixing.CHUNK_DOCS))
+    at, taken = collections.Counter(), {}
+    for k, (_, n, s) in sorted(enumerate(rows), key=lambda e: (e[1][2], _hash(42, e[1][0]) % chunks, e[1][0], e[1][1])):
+        taken[k] = 0
+        for b in range(at[s] // block, -(-(at[s] + n) // block)):
+            for t in take[s, b]:
+                taken[k] += max(0, min(at[s] + n, b * block + t) - max(at[s], b * block))
+        at[s] += n
+    return taken, counts
+
+
+def test_mixing_matches_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.choice([0, 3, 40, 700]), rng.choice([0, 0, 0, 1, 2, 3, 4])) for k in range(150)]
+    table = spark.createDataFrame([(k, " ".join(["w"] * n), f"s{s}", "x", 5) for k, n, s in rows], "doc_id long, text string, source string, block string, shard int")
+    got = {r["doc_id"]: r for r in mixing.mix_sources(table, 16).collect()}
+    goals = {s: math.floor(next(got[k]["target"] for k, _, t in rows if t == s) + 0.5) for s in range(5)}
+    taken, counts = brute_mix(rows, goals, 16, mixing.SHARD_SLOTS)
+    assert {k: r["taken"] for k, r in got.items()} == taken
+    sized = table.select("doc_id", "source", F.expr("size(split(trim(text), ' ')) * cast(text <> '' as int)").cast("long").alias("size"))
+    src = mixing.source_slots(mixing.mixture_targets(sized), 16)
+    drawn = mixing.shard_counts(src, 64).collect()
+    want = brute_mix(rows, goals, 16, 64)[1]
+    assert {(r["shard"], r["idx"]): r["drawn"] for r in drawn} == {(h, s): n for h, c in enumerate(want) for s, n in c.items()}
+    # the draws of a shard spread as multinomial counts do
+    n, shares = sum(map(len, want)), collections.Counter()
+    for c in want:
+        shares.update(c)
+    p = shares[0] / sum(shares.values())
+    spread = np.var([c[0] for c in want[:-1]])
+    assert n and 0.4 < spread / (64 * p * (1 - p)) < 2.0
+    slots = mixing.mixture_slots(mixing.mixture_targets(sized), 16, 64).collect()
+    places = collections.Counter((r["shard"], r["place"]) for r in slots)
+    assert set(places.values()) == {1} and all(p < 64 for _, p in places) and len(slots) == sum(shares.values())
+    assert {(r["idx"], r["pass"], r["block"]) for r in slots} and len({(r["idx"], r["pass"], r["block"]) for r in slots}) == len(slots)
 
 
 def test_mixing_deals_every_slot_to_a_place(spark):
@@ -285,8 +368,29 @@ def test_secrets_match_brute_force(spark, corpus):
     assert not any("entropy" in got[i]["f"] for i, t in corpus)
 
 
+def test_entropy_recall_by_class(spark):
+    import string
+
+    rng = random.Random(3)
+    kinds = {"digits": string.digits, "letters": string.ascii_letters, "hex": "0123456789ABCDEF", "all": string.ascii_letters + string.digits + "+/"}
+    rows = [(k, "see 日本 " + "".join(rng.choices(al, k=40)) + " end") for k, al in kinds.items() for _ in range(50)]
+    plain = "getUserNameFromDatabaseConnection SOME_CONSTANT_VALUE_NAME some-css-class-name-here-2024 internationalization20 /usr/local/lib/python/site-packages"
+    rows += [("plain", x) for x in [*plain.split(), "12345678901234567890", "z" * 40, "Donaudampfschifffahrtsgesellschaft"]]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "k string, text string")).select("k", F.exists("found", lambda s: s["kind"] >= 2).alias("f")).collect()
+    share = {k: np.mean([r["f"] for r in found if r["k"] == k]) for k in [*kinds, "plain"]}
+    assert share["plain"] == 0 and all(share[k] >= 0.95 for k in kinds), share
+
+
+def test_many_matches_and_clashing_names(spark):
+    text = "日本 " + "token = abcdef1 " * 3000
+    df = spark.createDataFrame([(1, text, 1, 2, 3), (2, text[:40], 1, 2, 3)], "doc_id long, text string, found int, base_found int, s int")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(df).collect()}
+    assert [(x["start"], x["end"]) for x in got[1]["found"]] == [(m.start(), m.end()) for m in re.finditer("token = abcdef1", text)]
+    assert len(got[2]["found"]) == 2 and got[2]["s"] == 3
+
+
 def test_window_entropy(spark):
-    rows = ["zX9qL2mV7pR4tB8nW3cY6dF1", "a" * 30, "ab" * 15, "short"]
+    rows = ["zX9qL2mV7pR4tB8nW3cY6dF1", "a" * 30, "ab" * 15, "short", secrets.ALPHABET, secrets.ALPHABET[::-1] + "a" * 25 + "+/_=-" * 9]
     got = [r["e"] for r in spark.createDataFrame([(r,) for r in rows], "c string").select(secrets.top_window_entropy(F.col("c")).alias("e")).collect()]
     assert all(math.isclose(a, brute_entropy(b), abs_tol=1e-9) for a, b in zip(got, rows, strict=True))
 
@@ -381,8 +485,43 @@ def test_lm_query_against_counts(spark, sf_dir, corpus):
     assert lattice_lm.score_documents(docs(spark, [])).count() == 0
 
 
-def test_fingerprints_follow_edits(spark, sf_dir, corpus):
-    rows = fingerprints.fingerprint_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"), chunk_rows=30).collect()
+def brute_order_minhash(text):
+    """The sketch in plain Python from the constants alone: numbered word pairs, the two least by each hash, in text order."""
+    import xxhash
+
+    full = 2**64 - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    w = [xxhash.xxh3_64_intdigest(x) for x in text.encode().split()]
+    poly, mul, add, tup = ([int(x) for x in a] for a in (fingerprints._POLY, fingerprints._MUL, fingerprints._ADD, fingerprints._TUPLE))
+    if not w:
+        grams = [len(text)]
+    else:
+        raw = [mixed((w[0] * poly[0] + 2) & full)] if len(w) < 2 else [(a * poly[0] + b * poly[1]) & full for a, b in zip(w, w[1:])]
+        seen, grams = collections.Counter(), []
+        for g in raw:
+            grams.append(mixed((g + seen[g] * 0x9E3779B97F4A7C15) & full))
+            seen[g] += 1
+    out = []
+    for k in range(fingerprints.SKETCHES):
+        def rank(i):
+            x = (grams[i] * mul[k] + add[k]) & full
+            return x ^ (x >> 29), i
+        picked = sorted(sorted(range(len(grams)), key=rank)[:2])
+        h = len(picked)
+        for n, i in enumerate(picked):
+            h = mixed((h * tup[n] + grams[i]) & full)
+        out.append(mixed((h + k) & full) >> 32)
+    return "".join(f"{x:08x}" for x in out)
+
+
+def test_fingerprints_match_brute_force(spark, sf_dir, corpus):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.lit(1) for c in ("chunk", "head", "z", "key")})
+    rows = fingerprints.fingerprint_neighbours(df, chunk_chars=20_000).collect()
     got = {r["doc_id"]: r for r in rows}
     order = sorted(corpus)
     prints = collections.defaultdict(set)
@@ -392,9 +531,12 @@ def test_fingerprints_follow_edits(spark, sf_dir, corpus):
         edited = t[: len(t) - half] + nxt[:half]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         prints[t].add(got[i]["fingerprint"])
-        mark = fingerprints.order_minhash(fingerprints.numbered_kmers(edited, fingerprints.hash64()))
-        assert got[i]["edited_fingerprint"] == mark.astype(">u4").tobytes().hex()
-    assert all(len(p) == 1 for p in prints.values())
+        if len(t) < 3000:
+            assert got[i]["fingerprint"] == brute_order_minhash(t) and got[i]["edited_fingerprint"] == brute_order_minhash(edited)
+        parts = lambda s: [s[x : x + 8] for x in range(0, len(s), 8)]
+        same = sum(x == y for x, y in zip(parts(got[i]["fingerprint"]), parts(got[order[(k + 1) % len(order)][0]]["fingerprint"]), strict=True))
+        assert math.isclose(got[i]["near_next"], same / fingerprints.SKETCHES)
+    assert len(rows) == len(order) and all(len(p) == 1 for p in prints.values())
     assert np.mean([r["near_edited"] for r in rows]) > 5 * np.mean([r["near_next"] for r in rows])
 
 
@@ -410,7 +552,9 @@ def test_order_minhash_is_sensitive_to_order():
 
 
 def test_fingerprint_edges(spark):
-    got = fingerprints.fingerprint_neighbours(docs(spark), chunk_rows=2).collect()
+    got = fingerprints.fingerprint_neighbours(docs(spark), chunk_chars=2).collect()
+    again = fingerprints.fingerprint_neighbours(docs(spark).repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
     assert len(got) == len(EDGE) and fingerprints.fingerprint_neighbours(docs(spark, [])).count() == 0
     one = fingerprints.fingerprint_neighbours(docs(spark, EDGE[3:4])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
