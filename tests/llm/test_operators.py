@@ -621,6 +621,52 @@ def test_articles_of_the_pages_table(spark, sf_dir):
         assert got[r["page_id"]] == " ".join(b for b in blocks if b)
 
 
+def extract_one(html, template=None):
+    return wrappers.extract(wrappers.parse(html), template)
+
+
+def test_pages_as_browsers_read_them():
+    assert extract_one("<p title=don't>first</p><p>it's second</p><p>third</p>") == "first it's second third"
+    assert extract_one('<p title="a > b" data-x=\'>\'>one</p><p class = "x" id=y>two') == "one two"
+    assert extract_one('<article><p>own</p><article class="comment-body"><p>reader</p></article></article>') == "own"
+    assert extract_one('<div><p>own</p></div><article class="comment-body"><p>reader</p></article>') == "own"
+    assert extract_one("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>body</p></article>") == "Title body"
+    assert extract_one('<article><div class="entry-header"><h1>Title</h1></div><p>body</p><div class="header">by me</div></article>') == "Title body"
+    assert extract_one('<div class="social-science">kept</div><div class="social-links">x</div><div class="ad-slot-2">y</div><div class="postheader">kept too</div>') == "kept kept too"
+    assert extract_one("<div>one<div class=ad>x</div>two<script>z</script>three</div>") == "one twothree"
+    assert extract_one("<p>unclosed <a href='x>link</a> tail</p>" * 2)
+    assert len(extract_one("<p " + "= " * 5000)) == 10_002  # no tag without its end
+
+
+def test_markup_of_any_depth():
+    deep = "<div>" * 10_000 + "middle" + "</div>x" * 10_000
+    got = extract_one("<body><p>first</p>" + deep + "<p>last</p>")
+    assert got.split() == ["first", "middle", *["x"] * 10_000, "last"]
+    muted = "<div>" * 500 + "<div class=ad>" + "<div>" * 500 + "hidden" + "</div>" * 501 + "shown" + "</div>" * 500
+    assert extract_one(muted) == "shown"
+    template = wrappers.shape(wrappers.parse(deep))
+    assert wrappers.merge(template, wrappers.shape(wrappers.parse(deep)))[wrappers.PAGES] == 2
+    assert extract_one("<b>" * 10_000 + "bold" + "</b>" * 10_000) == "bold"
+
+
+UNMARKED = """<html><body><div><span>Our motto</span></div><ul><li>Home</li><li>About us</li></ul><div><h1>Head {0}</h1><p>{1}</p><p>Sequel {0}</p></div>
+<div>All rights kept</div><table><tr><td>Write to us</td></tr></table></body></html>"""
+
+
+def test_template_decides_without_marks(spark):
+    """Constant blocks without any mark go, all of the article stays; alike for any partitions and either way to the template."""
+    rows = [(i, f"http://plain{i % 2}.example/{i}", UNMARKED.format(i, f"Body {i} " * (5 + i % 7)), "x") for i in range(60)]
+    rows += [(100 + i, f"http://one{i}.example/", UNMARKED.format(i, "alone"), "x") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, template string").withColumns({c: F.lit("z") for c in ("host", "salt", "content")})
+    read = lambda d, **kw: {r["page_id"]: r["text"] for r in wrappers.extract_pages(d, **kw).collect()}
+    got = read(df)
+    for i in range(60):
+        assert got[i] == " ".join([f"Head {i}", *[f"Body {i}"] * (5 + i % 7), f"Sequel {i}"])
+        assert extract_one(rows[i][2]) == " ".join(["Our motto", "Home", "About us", got[i], "All rights kept", "Write to us"])
+    assert got[100].startswith("Our motto")
+    assert read(df.repartition(7)) == got and read(df.coalesce(1), broadcast_chars=0) == got
+
+
 def test_wrappers_drop_only_the_constant_text_itself(spark):
     page = "<html><body><article><h1>{}</h1><p>{}</p></article><div>{}</div></body></html>"
     rows = [(i, f"http://copies.example/{i}", page.format("Same", "One article", "")) for i in range(4)] + [(4, "http://copies.example/4", page.format("Other", "Unique text", ""))]
