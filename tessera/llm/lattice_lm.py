@@ -2,7 +2,8 @@
 
 The pieces of an existing vocabulary, weighted by unigram log-probabilities, give every word a
 lattice of segmentations; a forward recursion in log space returns the marginal probability of
-the word over all of them. A word of the training documents has one more edge, itself, weighed by
+the word over all of them; words of any length are read whole, long ones in stretches that carry the
+recursion on. A word of the training documents has one more edge, itself, weighed by
 its discounted relative frequency; the discounts' mass weighs the segmentations into pieces
 (absolute discounting), so the probabilities of all texts still sum to one at most. The vocabulary is fixed; its unigram scores are fitted by expectation
 maximization over the word counts of all training documents, in rounds of distributed expected
@@ -24,18 +25,22 @@ from tessera.llm.near_dups import mix
 from tessera.session import cut_table
 
 FOLDS, HELD_OUT = 5, 1
-ROUNDS = 3
+ROUNDS = 4
 LEAST = 0.01
 CHUNK_DOCS = 8192
 CHUNK_MB = 24
 END = ""  #: the end of a text, as a word
-LONGEST = 16  #: bytes; longer pieces are not in the lattice
-LONG_WORD = 256  #: bytes; longer words are weighed in stretches of this length
+LONG_WORD = 512  #: bytes; longer words are weighed one by one, ``STRETCH`` bytes at a time
+STRETCH = 4096
+GROUP_CELLS = 150_000  #: bytes of words that are weighed together
 _U = np.uint64
 
 
 def default_vocabulary() -> list[bytes]:
-    """Pieces of the public 32k vocabulary as UTF-8, single bytes included, word starts as a blank."""
+    """Pieces of the public 32k vocabulary as UTF-8, single bytes included, word starts as a blank.
+
+    Its runs of blanks are left out: no word holds a blank after its start.
+    """
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
 
@@ -44,7 +49,7 @@ def default_vocabulary() -> list[bytes]:
     for i in range(model.vocab_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if len(piece) <= LONGEST and b" " not in piece[1:]:
+            if b" " not in piece[1:]:
                 pieces.add(piece)
     return sorted(pieces)
 
@@ -54,7 +59,9 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         self.logp = logp
-        self.power = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(LONGEST + 1)], np.uint64)
+        self.sizes = np.array(sorted({len(p) for p in pieces}))
+        self.longest = int(self.sizes[-1])
+        self.power = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
         keys = self._hash_pieces(pieces)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order
@@ -99,18 +106,69 @@ class Lattice:
         return res.reshape(hashes.shape)
 
     def _edges(self, words: list[bytes]):
-        """Piece numbers by (length, word, end) for words of one length."""
+        """Piece numbers by (length, word, start) for words of one length."""
         n = len(words[0])
         chars = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).astype(np.uint64) + _U(1)
         prefix = np.zeros((len(words), n + 1), np.uint64)
         for i in range(n):
             prefix[:, i + 1] = prefix[:, i] * _U(0x100000001B3) + chars[:, i]
         edges = {}
-        for size in range(1, min(LONGEST, n) + 1):
+        for size in self.sizes[self.sizes <= n].tolist():
             raw = prefix[:, size:] - prefix[:, : n + 1 - size] * self.power[size]
             edges[size] = self.find(mix(raw + _U(size)))
         return n, edges
 
+    def _ends(self, word: bytes, a: int, b: int) -> np.ndarray:
+        """Piece numbers (length, end) of pieces that end in a+1..b, -1 where there is none."""
+        lo = max(0, a + 1 - self.longest)
+        found = np.full((len(self.sizes), b - a), -1, np.int64)
+        _, edges = self._edges([word[lo:b]])
+        for k, size in enumerate(self.sizes.tolist()):
+            if size in edges:
+                own = edges[size][0]  # by start from lo, so ends from lo + size
+                skip = max(0, a + 1 - lo - size)
+                found[k, max(0, lo + size - a - 1) :] = own[skip:]
+        return found
+
+    def _forward(self, scores: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Log mass of the prefixes up to each end, after the ``longest`` values ``before`` them."""
+        ahead = np.concatenate([before, np.full(scores.shape[1], -np.inf)])
+        for e in range(scores.shape[1]):
+            into = ahead[self.longest + e - self.sizes] + scores[:, e]
+            top = into.max()
+            if top > -np.inf:
+                ahead[self.longest + e] = top + np.log(np.exp(into - top).sum())
+        return ahead
+
+    def weigh_long(self, word: bytes, expected: np.ndarray | None = None, count: float = 1.0) -> float:
+        """As ``weigh`` for one word of any length: a stretch is held at a time, and the state between stretches."""
+        cuts = list(range(0, len(word), STRETCH))
+        state = np.full(self.longest, -np.inf)
+        state[-1] = 0.0
+        states = []
+        for a in cuts:
+            states.append(state)
+            edges = self._ends(word, a, min(len(word), a + STRETCH))
+            state = self._forward(np.where(edges >= 0, self.logp[edges], -np.inf), state)[-self.longest :]
+        total = float(state[-1])
+        if expected is not None:
+            later = np.full(self.longest, -np.inf)  # mass from the last places of the stretch so far, its end last
+            later[-1] = 0.0
+            for a, state in zip(reversed(cuts), reversed(states), strict=True):
+                edges = self._ends(word, a, min(len(word), a + STRETCH))
+                scores = np.where(edges >= 0, self.logp[edges], -np.inf)
+                ahead = self._forward(scores, state)
+                behind = np.full(len(ahead), -np.inf)
+                behind[-self.longest :] = later
+                for e in range(scores.shape[1] - 1, -1, -1):
+                    at = self.longest + e
+                    behind[at - self.sizes] = np.logaddexp(behind[at - self.sizes], scores[:, e] + behind[at])
+                    share = np.exp(ahead[at - self.sizes] + scores[:, e] + behind[at] - total) * count
+                    use = edges[:, e] >= 0
+                    np.add.at(expected, edges[use, e], share[use])
+                later = behind[: self.longest]
+        return total
+
     def weigh(self, words: list[bytes], expected: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
         """Natural log of each word's marginal probability; adds expected piece counts if asked.
 
@@ -118,11 +176,12 @@ class Lattice:
         """
         n, edges = self._edges(words)
         m = len(words)
+        sizes = list(edges)
         scores = {s: np.where(e >= 0, self.logp[e], -np.inf) for s, e in edges.items()}
         ahead = np.full((m, n + 1), -np.inf)
         ahead[:, 0] = 0.0
         for j in range(1, n + 1):
-            into = np.stack([ahead[:, j - s] + scores[s][:, j - s] for s in range(1, min(LONGEST, j) + 1)])
+            into = np.stack([ahead[:, j - s] + scores[s][:, j - s] for s in sizes if s <= j])
             top = into.max(axis=0)
             ahead[:, j] = top + np.log(np.exp(into - np.where(np.isfinite(top), top, 0.0)).sum(axis=0))
         total = ahead[:, n]
@@ -130,7 +189,7 @@ class Lattice:
             behind = np.full((m, n + 1), -np.inf)
             behind[:, n] = 0.0
             for i in range(n - 1, -1, -1):
-                out = np.stack([scores[s][:, i] + behind[:, i + s] for s in range(1, min(LONGEST, n - i) + 1)])
+                out = np.stack([scores[s][:, i] + behind[:, i + s] for s in sizes if s <= n - i])
                 top = out.max(axis=0)
                 behind[:, i] = top + np.log(np.exp(out - np.where(np.isfinite(top), top, 0.0)).sum(axis=0))
             for s, e in edges.items():
@@ -144,28 +203,27 @@ def spelled(word: str) -> bytes:
     return b" " + word.encode("utf-8", "surrogatepass")
 
 
-def _by_length(words: list[bytes], most: int = 4096):
+def _by_length(words: list[bytes]):
     """Index lists of words of one length, of bounded size."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
     ends = np.flatnonzero(np.diff(sizes[order])) + 1
     for group in np.split(order, ends):
-        for at in range(0, len(group), most):
-            yield group[at : at + most]
+        if len(group):
+            most = max(1, GROUP_CELLS // max(1, int(sizes[group[0]])))
+            for at in range(0, len(group), most):
+                yield group[at : at + most]
 
 
 def weigh_all(lattice: Lattice, words: list[bytes], expected: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
-    """As Lattice.weigh for words of any lengths; very long words are weighed in stretches."""
+    """As Lattice.weigh for words of any lengths."""
     total = np.zeros(len(words))
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for at in range(0, len(w), LONG_WORD):
-            parts.append(w[at : at + LONG_WORD])
-            owner.append(i)
-    owner = np.asarray(owner, np.int64)
-    for group in _by_length(parts):
-        got = lattice.weigh([parts[i] for i in group], expected, None if counts is None else counts[owner[group]])
-        np.add.at(total, owner[group], got)
+    for group in _by_length(words):
+        if len(words[group[0]]) > LONG_WORD:
+            for i in group:
+                total[i] = lattice.weigh_long(words[i], expected, 1.0 if counts is None else float(counts[i]))
+        else:
+            total[group] = lattice.weigh([words[i] for i in group], expected, None if counts is None else counts[group])
     return total
 
 
@@ -261,19 +319,36 @@ def fit_pieces(words: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> t
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_chunk(mass: float):
-    def run(keys, docs: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip((w.encode("utf-8", "surrogatepass") for w in vocab["word"]), range(len(vocab)), strict=True))
-        counts, lm = vocab["c"].to_numpy(float), vocab["lm"].to_numpy(float)
-        has, base = counts > 0, np.log10((counts + 0.5) / mass)
-        rows = []
-        for doc_id, held_out, text in zip(docs["doc_id"].astype("Int64"), docs["held_out"], docs["text"], strict=True):
-            words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-            at = np.fromiter(map(known.__getitem__, [*words, b""]), np.int64, len(words) + 1)
-            rows.append((doc_id, held_out, len(at), int(has[at].sum()), float(base[at].sum()), float(lm[at].sum())))
-        out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+def _score_chunks(mass: float):
+    """Rows sorted by (chunk, kind): the words of a chunk (kind 0: text is the word, id its count), then its documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, known, held, tables = None, {}, [], None
+        for batch in batches:
+            rows = []
+            at = batch["chunk"].to_numpy()
+            kind = batch["kind"].to_numpy()
+            starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (kind[1:] != kind[:-1]))) if len(batch) else []
+            for lo, hi in zip(starts, [*starts[1:], len(batch)], strict=True):
+                part = batch.iloc[lo:hi]
+                if at[lo] != chunk:
+                    chunk, known, held, tables = at[lo], {}, [], None
+                if kind[lo] == 0:
+                    n = len(known)
+                    known.update(zip((w.encode("utf-8", "surrogatepass") for w in part["text"]), range(n, n + len(part)), strict=True))
+                    held.append((part["id"].to_numpy(float), part["lm"].to_numpy(float)))
+                    continue
+                if tables is None:
+                    counts, lm = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                    tables, held = (counts > 0, np.log10((counts + 0.5) / mass), lm), []
+                has, base, lm = tables
+                for doc_id, held_out, text in zip(part["id"].astype("Int64"), part["held_out"], part["text"], strict=True):
+                    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+                    where = np.fromiter(map(known.__getitem__, [*words, b""]), np.int64, len(words) + 1)
+                    rows.append((doc_id, held_out, len(where), int(has[where].sum()), float(base[where].sum()), float(lm[where].sum())))
+            out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
 
     return run
 
@@ -282,8 +357,9 @@ def score_documents(docs: DataFrame, pieces: list[bytes] | None = None, rounds:
     """Per row of ``docs`` (doc_id, text): held_out, token figures, base_score and score.
 
     A null doc_id counts as a training document (its remainder is null). Null or blank text is the
-    end alone. Repeated rows count as often as they stand. Other columns are not read. An empty
-    table gives an empty result.
+    end alone. Repeated rows count as often as they stand. Words of any length are scored whole. Other
+    columns are not read. An empty table gives an empty result. A task holds the words of a chunk,
+    and streams its documents.
     """
     pieces = pieces or default_vocabulary()
     folded = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -291,7 +367,8 @@ def score_documents(docs: DataFrame, pieces: list[bytes] | None = None, rounds:
     size = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("b")).first()
     chunks = max(1, -(-size["n"] // CHUNK_DOCS), -(-(size["b"] or 0) // (CHUNK_MB << 20)))
     keyed = held.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    split = keyed.repartition(chunks, "chunk").sortWithinPartitions("chunk")
+    placed = F.col("chunk").cast("int")
+    split = keyed.repartitionById(chunks, placed).sortWithinPartitions("chunk")
     local = cut_table(split.select("chunk", "held_out", "text").mapInPandas(_count_words, "chunk long, word string, c long"))
     words = cut_table(local.groupBy("word").agg(F.sum("c").alias("c")))
     sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
@@ -299,6 +376,8 @@ def score_documents(docs: DataFrame, pieces: list[bytes] | None = None, rounds:
     logp, end = fit_pieces(words, pieces, rounds)
     discount = min(0.95, max(0.05, (sums["once"] or 0) / max(1, (sums["once"] or 0) + 2 * (sums["twice"] or 0))))
     weighed = words.mapInPandas(_score_words(pieces, logp, end, n, discount, discount * v / max(1, n)), "word string, c long, lm double")
-    vocab = local.select("chunk", "word").join(weighed, "word").select("chunk", "word", "c", F.col("lm").cast("float").alias("lm"))
-    scored = keyed.groupBy("chunk").cogroup(vocab.groupBy("chunk")).applyInPandas(_score_chunk(n + 0.5 * (v + 1)), _SCORED)
-    return scored.withColumn("train_tokens", F.lit(n).cast("long"))
+    vocab = local.select("chunk", "word").join(weighed, "word")
+    vocab = vocab.select("chunk", F.lit(0).alias("kind"), F.col("c").alias("id"), F.col("word").alias("text"), F.lit(False).alias("held_out"), F.col("lm").cast("float").alias("lm"))
+    texts = keyed.select("chunk", F.lit(1).alias("kind"), F.col("doc_id").alias("id"), "text", "held_out", F.lit(0.0).cast("float").alias("lm"))
+    rows = vocab.unionByName(texts).repartitionById(chunks, placed).sortWithinPartitions("chunk", "kind")
+    return rows.mapInPandas(_score_chunks(n + 0.5 * (v + 1)), _SCORED).withColumn("train_tokens", F.lit(n).cast("long"))
