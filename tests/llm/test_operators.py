@@ -467,6 +467,21 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(expected @ sizes, sum(map(len, texts)), rel_tol=1e-6)
 
 
+def test_long_words_are_weighed_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    pieces = sorted({bytes([b]) for b in b" abcde"} | {b" a", b"ab", b"abc", b"cde", b"deabcdeabcdeabcdeabcdea"})
+    logp = np.log(rng.dirichlet(np.ones(len(pieces))))
+    scores = dict(zip(pieces, logp, strict=True))
+    words_ = [b" " + b"abcde" * 30, b" " + bytes(rng.choice(list(b"abcde"), 257).tolist()), b" abcdeab"]
+    lattice = lattice_lm.Lattice(pieces, logp)
+    whole, fast = np.zeros(len(pieces)), np.zeros(len(pieces))
+    want = lattice_lm.weigh_all(lattice, words_, whole, np.array([1.0, 2.0, 3.0]))
+    monkeypatch.setattr(lattice_lm, "LONG_WORD", 5)
+    monkeypatch.setattr(lattice_lm, "STRETCH", 31)
+    got = lattice_lm.weigh_all(lattice, words_, fast, np.array([1.0, 2.0, 3.0]))
+    assert np.allclose(want, [brute_marginal(t, scores) for t in words_]) and np.allclose(got, want) and np.allclose(whole, fast)
+
+
 def test_lm_query_against_counts(spark, sf_dir, corpus):
     got = {r["doc_id"]: r for r in QUERIES["op7_lattice_lm"](spark, sf_dir).collect()}
     train = collections.Counter()
@@ -479,7 +494,25 @@ def test_lm_query_against_counts(spark, sf_dir, corpus):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(train[x] > 0 for x in w), n)
         assert math.isclose(r["base_score"], sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-        assert r["score"] < 0 and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 1)
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 1)
+    # the score of each text from the same pieces, by plain segmentation of its words
+    pieces = lattice_lm.default_vocabulary()
+    table = spark.createDataFrame([(w.decode(), c) for w, c in train.items()], "word string, c long")
+    logp, end = lattice_lm.fit_pieces(table, pieces)
+    scores = dict(zip(pieces, logp, strict=True))
+    once, twice = (sum(c == k for c in train.values()) for k in (1, 2))
+    off = min(0.95, max(0.05, once / (once + 2 * twice)))
+
+    def plain(w):
+        return math.log(math.exp(math.log(off * v / n) + (end if not w else brute_marginal(b" " + w, scores))) + max(0, train[w] - off) / n) / math.log(10)
+
+    seen = {}
+    for i, t in corpus:
+        if len(t) < 1500:
+            want = sum(seen.setdefault(x, plain(x)) if x not in seen else seen[x] for x in [*words(t), b""])
+            assert math.isclose(got[i]["score"], want, rel_tol=1e-4)
+    clash = lattice_lm.score_documents(docs(spark, EDGE[:5]).withColumns({c: F.lit("q") for c in ("chunk", "kind", "id", "held_out", "word", "c", "lm")})).collect()
+    assert [r["n_tokens"] for r in clash].count(1) == 3
     edges = lattice_lm.score_documents(docs(spark)).collect()
     assert len(edges) == len(EDGE) and {r["n_tokens"] for r in edges if r["doc_id"] in (1, 2, 3)} == {1}
     assert lattice_lm.score_documents(docs(spark, [])).count() == 0
