@@ -1,58 +1,131 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
-Words are the positions of the chain. A word's features are its affixes, its character n-grams and
-itself as a lexicon entry (all hashed); transitions between the languages of neighbouring words are
-learned. Training maximizes the conditional likelihood by stochastic gradients of the
-forward-backward algorithm; since rated texts are in one language each, stretches of several are
-joined into code-switched chains. Prediction runs forward-backward over every word of a text.
-
-The model is fitted on at most ``TRAIN_ROWS`` texts, ``TRAIN_WORDS`` words of each; predictions
-cover whole texts.
+Words are the positions of the chain. A word's features are its affixes (first and last 1, 2 and 4
+characters), its character bigrams and trigrams and itself as a lexicon entry (all hashed, of words
+of any length); transitions between the languages of neighbouring words are learned. Training
+maximizes the conditional likelihood by stochastic gradients of the forward-backward algorithm; since
+rated texts are in one language each, stretches of several are joined into code-switched chains.
+Prediction runs forward-backward over every word of a text.
+
+The model is fitted on a sample: of the ``MOST_LANGS`` most frequent languages at most ``TRAIN_ROWS``
+distinct texts in all, as many of each language, by the hash of the text; of each text a stretch of
+``TRAIN_CHARS`` characters at a place of the whole text that its hash chooses. Predictions cover
+whole texts.
 """
 
 from __future__ import annotations
 
-import zlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.llm.text import WordMap, words_of
+from tessera.llm.near_dups import mix
+from tessera.llm.text import words_of
 
 FOLDS, HELD_OUT = 4, 2
 BITS = 16
-TRAIN_ROWS, TRAIN_WORDS = 2000, 60
+TRAIN_ROWS, TRAIN_CHARS, MOST_LANGS = 2000, 400, 256
 STRETCH, CHAIN = 20, 60
 EPOCHS, RATE, DECAY, BATCH = 4, 0.15, 1e-5, 32
 UNKNOWN = "und"
 BATCH_CELLS = 600_000  #: words (with padding) of one forward-backward batch
+WINDOW = 1 << 18  #: characters whose features are hashed at a time
 _MASK = (1 << BITS) - 1
+_U = np.uint64
+_P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _STRIP = ".,;:!?'\"()[]{}|#*$%&<>-_/\\0123456789"
 
 
-def word_features(word: bytes) -> np.ndarray:
-    """Hashed features of a lower-cased word; none for a word without letters."""
-    return core_features(core_of(word))
-
-
 def core_of(word: bytes) -> str:
     """The word in lower case between its outer marks; empty without a letter."""
     text = word.decode("utf-8", "replace").lower().strip(_STRIP)
-    return text if any(map(str.isalpha, text)) else ""
-
-
-def core_features(text: str) -> np.ndarray:
-    if not text:
-        return np.zeros(0, np.int64)
-    text = text[:64]
-    padded = f"^{text}$"
-    found = {padded, "p" + text[:2], "s" + text[-2:], "s" + text[-4:]}
-    found.update([padded[i : i + 3] for i in range(len(padded) - 2)])
-    return np.fromiter({zlib.crc32(f.encode()) & _MASK for f in found}, np.int64)
+    return text if text.isalpha() or any(map(str.isalpha, text)) else ""
+
+
+def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return (mix(hashes + _U(kind + 1)) & _U(_MASK)).astype(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + _U(1)
+
+
+def _grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs and triples of neighbouring codes."""
+    two = codes[:-1] * _U(_P) + codes[1:]
+    return two, two[:-1] * _U(_Q) + codes[2:]
+
+
+def features_of(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of all features of short words, each as often as it occurs."""
+    codes = _codes("".join(f"^{c}$" for c in cores))
+    sizes = np.fromiter((len(c) + 2 for c in cores), np.int64, len(cores))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    owner = np.repeat(np.arange(len(cores)), sizes)
+    place = np.arange(len(codes)) - starts[owner]
+    behind = ends[owner] - 1 - np.arange(len(codes))
+    two, three = _grams(codes)
+    in_two = np.flatnonzero((place[:-1] >= 1) & (behind[:-1] >= 2))
+    in_three = np.flatnonzero(behind[:-2] >= 2)
+    powers = np.cumprod(np.append(_U(1), np.full(int(sizes.max()), _P, np.uint64)))
+    words = [np.arange(len(cores))] * 7
+    found = [_bucket(np.add.reduceat(codes * powers[place], starts), 2)]
+    for k, n in enumerate((1, 2, 4)):
+        found.append(_bucket(np.add.reduceat(np.where((place >= 1) & (place <= n) & (behind >= 1), codes * powers[place], _U(0)), starts), 3 + k))
+        found.append(_bucket(np.add.reduceat(np.where((behind >= 1) & (behind <= n) & (place >= 1), codes * powers[behind], _U(0)), starts), 6 + k))
+    return np.concatenate([owner[in_two], owner[in_three], *words]), np.concatenate([_bucket(two[in_two], 0), _bucket(three[in_three], 1), *found])
+
+
+def long_features(core: str) -> np.ndarray:
+    """Buckets of one word of any length, ``WINDOW`` characters at a time, as counts by bucket."""
+    counts = np.zeros(1 << BITS)
+    whole, power = 0, 1
+    padded = f"^{core}$"
+    for at in range(0, len(padded), WINDOW):
+        codes = _codes(padded[max(0, at - 2) : at + WINDOW])
+        two, three = _grams(codes) if len(codes) > 1 else (codes[:0], codes[:0])
+        new = 2 if at else 0  # the first codes are the last of the window before
+        inner = two[max(0, new - 1) :]
+        if at == 0:
+            inner = inner[1:]
+        if at + WINDOW >= len(padded):
+            inner = inner[:-1]
+        counts += np.bincount(_bucket(inner, 0), minlength=1 << BITS) + np.bincount(_bucket(three, 1), minlength=1 << BITS)
+        own = codes[new:]
+        powers = np.cumprod(np.append(_U(1), np.full(len(own) - 1, _P, np.uint64)))
+        whole = (whole + power * int((own * powers).sum(dtype=np.uint64))) & 0xFFFFFFFFFFFFFFFF
+        power = power * pow(_P, len(own), 1 << 64) & 0xFFFFFFFFFFFFFFFF
+    counts[_bucket(np.array([whole], np.uint64), 2)] += 1
+    for k, n in enumerate((1, 2, 4)):
+        for kind, codes in ((3 + k, _codes(core[:n])), (6 + k, _codes(core[-n:])[::-1])):
+            total = sum(int(c) * pow(_P, i + 1, 1 << 64) for i, c in enumerate(codes)) & 0xFFFFFFFFFFFFFFFF
+            counts[_bucket(np.array([total], np.uint64), kind)] += 1
+    return counts
+
+
+def emissions(cores: list[str], emit: np.ndarray) -> np.ndarray:
+    """(word, language) sums of the weights of the words' features."""
+    out = np.zeros((len(cores), emit.shape[1]))
+    at = 0
+    while at < len(cores):
+        end, size = at, 0
+        while end < len(cores) and size + len(cores[end]) <= WINDOW:
+            size += len(cores[end]) + 2
+            end += 1
+        if end == at:
+            out[at] = long_features(cores[at]) @ emit
+            end += 1
+        else:
+            owner, bucket = features_of(cores[at:end])
+            for k in range(emit.shape[1]):
+                out[at:end, k] = np.bincount(owner, emit[bucket, k], minlength=end - at)
+        at = end
+    return out
 
 
 @dataclass
@@ -100,14 +173,15 @@ def fit_chain(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Chai
     emit, trans = np.zeros((1 << BITS, max(1, k))), np.zeros((max(1, k), max(1, k)))
     if not texts or k < 2:
         return ChainModel(langs or [UNKNOWN], emit, trans)
-    of_word = WordMap(word_features)
     number = {x: i for i, x in enumerate(langs)}
     pieces: list[tuple[int, list[np.ndarray]]] = []
     for text, lang in zip(texts, labels, strict=True):
-        words = words_of(text)
-        at = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) % max(1, len(words) - TRAIN_WORDS + 1)
-        feats = [f for f in (of_word[w] for w in words[at : at + TRAIN_WORDS]) if len(f)]
-        pieces += [(number[lang], feats[i : i + STRETCH]) for i in range(0, len(feats), STRETCH)]
+        cores = [c for c in map(core_of, words_of(text)) if c]
+        if cores:
+            owner, bucket = features_of(cores)
+            order = np.argsort(owner, kind="stable")
+            feats = np.split(bucket[order], np.flatnonzero(np.diff(owner[order])) + 1)
+            pieces += [(number[lang], feats[i : i + STRETCH]) for i in range(0, len(feats), STRETCH)]
     rng = np.random.default_rng(7)
     g_emit, g_trans = np.full_like(emit, 1e-8), np.full_like(trans, 1e-8)
     share = np.bincount([y for y, _ in pieces], minlength=k) / max(1, len(pieces))
@@ -156,11 +230,21 @@ def fit_chain(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Chai
 def train_chain(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ChainModel:
     """Model from (text, lang) rows; rows with a null lang or text are not used."""
     rated = docs.where("lang is not null and text is not null")
-    n = rated.count()
-    # a hash slice somewhat larger than needed first, so that no task sends more rows than its share
-    slice_ = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1_000_000, 1_300_000 * train_rows / max(1, n) + 2000))
-    rows = rated.where(slice_).select(F.substring("text", 1, 20_000).alias("text"), "lang", F.xxhash64("text").alias("h")).orderBy("h", "text", "lang").limit(train_rows)
-    got = rows.select("text", "lang").collect()  # at most train_rows rows
+    h = F.xxhash64("text")
+    counts = rated.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(h).alias("texts")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    if not counts:
+        return fit_chain([], [])
+    each = max(1, train_rows // len(counts))
+    # of each language a hash slice somewhat larger than needed first, so that no task holds more rows than its share
+    rates = F.from_json(F.lit(json.dumps({r["lang"]: int(min(1_000_000, 1_300_000 * each / max(1, r["texts"]) + 2000)) for r in counts})), "map<string,long>")
+    start = F.pmod(F.xxhash64(h), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1)))
+    part = F.substring(F.col("text"), (start + 1).cast("int"), F.lit(TRAIN_CHARS))
+    # words that the stretch cuts go, unless one fills it
+    left = F.when(start > 0, F.regexp_replace(part, r"\A[^\x20\x09-\x0D]+[\x20\x09-\x0D]", "")).otherwise(part)
+    inner = F.when(start + TRAIN_CHARS < F.length("text"), F.regexp_replace(left, r"[\x20\x09-\x0D][^\x20\x09-\x0D]+\z", "")).otherwise(left)
+    sliced = rated.where(F.pmod(h, F.lit(1_000_000)) < F.element_at(rates, F.col("lang"))).groupBy(h.alias("h"), "lang").agg(F.min(inner).alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    got = sliced.withColumn("place", place).where(F.col("place") <= each).orderBy("h", "lang").select("text", "lang").collect()  # at most train_rows rows
     return fit_chain([r["text"] for r in got], [r["lang"] for r in got])
 
 
@@ -172,29 +256,50 @@ class WordScores:
         self.reset()
 
     def reset(self) -> None:
-        self.table = np.zeros((1024, len(self.model.langs)))
+        self.table = np.zeros((1024, len(self.model.langs)), np.float32)
         self.used = 1
-        self.cores = WordMap(self._row)
-        self.rows = WordMap(lambda w: self.cores[core_of(w)])
-
-    def _row(self, core: str) -> int:
-        if not core:
-            return 0
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used] = self.model.emit.take(core_features(core), axis=0).sum(axis=0)
-        self.used += 1
-        return self.used - 1
-
-    def scores(self, words: list[bytes]) -> np.ndarray:
-        """(word, language) of the words with a letter."""
-        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        found = self.table[at[at > 0]].astype(np.float32)
+        self.cores: dict[str, int] = {"": 0}
+        self.rows: dict[bytes, int] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make all of these words known."""
+        new = [w for w in words if w not in self.rows]
+        cores = [core_of(w) for w in new]
+        fresh = list(dict.fromkeys(c for c in cores if c not in self.cores))
+        need = self.used + len(fresh)
+        if need > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
+        if fresh:
+            self.table[self.used : need] = emissions(fresh, self.model.emit)
+            self.cores.update(zip(fresh, range(self.used, need), strict=True))
+            self.used = need
+        self.rows.update(zip(new, map(self.cores.__getitem__, cores), strict=True))
+
+    def scores(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """(word, language) of the words with a letter, by text."""
         if len(self.rows) > self.most:
             self.reset()
+        self.learn({w for words in texts for w in words})
+        found = []
+        for words in texts:
+            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+            found.append(self.table[at[at > 0]])
         return found
 
 
+def _groups(texts: list[str | None], most: int = 1 << 20):
+    """(number of the first, words of each) of runs of texts of about ``most`` characters."""
+    group, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        group.append(words_of(text))
+        size += len(text or "")
+        if size >= most:
+            yield first, group
+            group, size, first = [], 0, i + 1
+    if group:
+        yield first, group
+
+
 def label_words(model: ChainModel, texts: list[str | None], keep: bool = True) -> list[np.ndarray | None]:
     """Marginals (word, language) of every word with a letter, by text; None for a text without.
 
@@ -204,10 +309,10 @@ def label_words(model: ChainModel, texts: list[str | None], keep: bool = True) -
         label_words.scores = WordScores(model)
     found: list[np.ndarray | None] = [None] * len(texts)
     rows = []
-    for i, text in enumerate(texts):
-        scores = label_words.scores.scores(words_of(text))
-        if len(scores):
-            rows.append((i, scores))
+    for first, group in _groups(texts):
+        for i, scores in enumerate(label_words.scores.scores(group), first):
+            if len(scores):
+                rows.append((i, scores))
     rows.sort(key=lambda r: len(r[1]))
     at = 0
     while at < len(rows):
@@ -255,8 +360,8 @@ def _predict(model: ChainModel):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for at in range(0, len(batch), 10_000):
-                part = batch.iloc[at : at + 10_000]
+            for at in range(0, len(batch), 2000):
+                part = batch.iloc[at : at + 2000]
                 for text, m in zip(part["text"], label_words(model, list(part["text"]), keep=False), strict=True):
                     if m is None:
                         letters = bool(text) and any(c.isalpha() for c in text)
