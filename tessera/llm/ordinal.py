@@ -20,7 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.text import WordMap, words_of
+from tessera.llm.text import WordMap
 
 BITS = 19
 TRAIN_ROWS = 3000
@@ -29,6 +29,7 @@ MIN_DOCS = 3  #: rated rows that a feature must stand in
 LEAST_DRIFT = 4.0  #: standard errors by which the grade of a feature's rows must differ
 STEPS, RATE, DECAY = 200, 0.02, 1e-4
 REPEAT_STEPS = 10
+SHORT_CAPITALS = 3  #: letters up to which capitals are no shouting
 _MASK = (1 << BITS) - 1
 
 
@@ -45,15 +46,17 @@ def word_features(word: bytes) -> list[int]:
     return sorted(found)
 
 
-def document_features(words: list[bytes], distinct: set[bytes]) -> list[int]:
-    share = int(REPEAT_STEPS * len(distinct) / len(words)) if words else 0
-    shout = any(w.isupper() for w in distinct)
-    return [_bucket(b"r", b"%d" % share), _bucket(b"u", b"%d" % shout)]
+def document_features(n_words: int, distinct: set[bytes], shouts: bool) -> list[int]:
+    """Buckets for how far words repeat (``distinct`` lower-cased) and whether a word is in capitals."""
+    share = int(REPEAT_STEPS * len(distinct) / n_words) if n_words else 0
+    return [_bucket(b"r", b"%d" % share), _bucket(b"u", b"%d" % shouts)]
 
 
-def _split(text: str | None) -> tuple[list[bytes], set[bytes]]:
-    words = words_of(text)
-    return words, set(words)
+def _split(text: str | None) -> tuple[int, set[bytes], bool]:
+    """Number of words, the distinct ones with A-Z lowered, and whether one of two and more letters is in capitals."""
+    words = text.encode("utf-8", "surrogatepass").split() if text else []
+    raw = set(words)
+    return len(words), {w.lower() for w in raw}, any(len(w) > SHORT_CAPITALS and w.isupper() for w in raw)
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,8 +64,8 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids, ns = [], []
         for text in batch["text"]:
-            words, distinct = _split(text)
-            all_ids = [i for w in distinct for i in of_word[w]] + document_features(words, distinct)
+            n_words, distinct, shouts = _split(text)
+            all_ids = [i for w in distinct for i in of_word[w]] + document_features(n_words, distinct, shouts)
             of_word.trim()
             got, n = np.unique(np.asarray(all_ids, np.int32), return_counts=True)
             ids.append(got)
@@ -80,6 +83,25 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(latent)[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def loss_and_gradient(w: np.ndarray, t: np.ndarray, cols: np.ndarray, vals: np.ndarray, rows: np.ndarray, grades: np.ndarray, balance: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood with weight decay, and its gradients by the weights and by t (first threshold, logs of the gaps)."""
+    n, n_grades = max(1, len(grades)), len(t) + 1
+    theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+    z = np.bincount(rows, vals * w[cols], minlength=len(grades))
+    up = np.concatenate([theta, [np.inf]])[grades] - z
+    lo = np.concatenate([[-np.inf], theta])[grades] - z
+    cu, cl = 1 / (1 + np.exp(-np.clip(up, -30, 30))), 1 / (1 + np.exp(-np.clip(lo, -30, 30)))
+    cu, cl = np.where(np.isposinf(up), 1.0, cu), np.where(np.isneginf(lo), 0.0, cl)
+    p = np.maximum(1e-9, cu - cl)
+    du, dl = cu * (1 - cu) / p, cl * (1 - cl) / p
+    gz = balance * (du - dl) / n  # of the negative log likelihood by z
+    gtheta = np.bincount(grades, -du * balance, minlength=n_grades)[:-1] / n + np.bincount(grades, dl * balance, minlength=n_grades)[1:] / n
+    later = np.cumsum(gtheta[::-1])[::-1]
+    gt = np.concatenate([later[:1], later[1:] * np.exp(t[1:])])
+    gw = np.bincount(cols, vals * gz[rows], minlength=len(w)) + DECAY * w
+    return float(-(balance * np.log(p)).sum() / n + DECAY / 2 * (w * w).sum()), gw, gt
+
+
 def fit_ordinal(ids: list[np.ndarray], ns: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalModel:
     """Maximum likelihood with weight decay, by Adam over the whole (bounded) sample."""
     lens = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -103,19 +125,7 @@ def fit_ordinal(ids: list[np.ndarray], ns: list[np.ndarray], grades: np.ndarray,
     counts = np.bincount(grades, minlength=n_grades)
     balance = (n / (n_grades * np.maximum(1, counts)))[grades] ** 0.5
     for step in range(1, STEPS + 1):
-        theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        z = np.bincount(rows, vals * w[cols], minlength=len(ids))
-        up = np.concatenate([theta, [np.inf]])[grades] - z
-        lo = np.concatenate([[-np.inf], theta])[grades] - z
-        cu, cl = 1 / (1 + np.exp(-np.clip(up, -30, 30))), 1 / (1 + np.exp(-np.clip(lo, -30, 30)))
-        cu, cl = np.where(np.isposinf(up), 1.0, cu), np.where(np.isneginf(lo), 0.0, cl)
-        p = np.maximum(1e-9, cu - cl)
-        du, dl = cu * (1 - cu) / p, cl * (1 - cl) / p
-        gz = balance * (du - dl) / n  # of the negative log likelihood by z
-        gtheta = np.bincount(grades, -du * balance, minlength=n_grades)[:-1] / n + np.bincount(grades, dl * balance, minlength=n_grades)[1:] / n
-        later = np.cumsum(gtheta[::-1])[::-1]
-        gt = np.concatenate([later[:1], later[1:] * np.exp(t[1:])])
-        gw = np.bincount(cols, vals * gz[rows], minlength=len(kept)) + DECAY * w
+        _, gw, gt = loss_and_gradient(w, t, cols, vals, rows, grades, balance)
         for k, (x, g) in enumerate(((w, gw), (t, gt))):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -145,9 +155,9 @@ def _grade(weights: np.ndarray, thresholds: np.ndarray):
         for batch in batches:
             latent = np.zeros(len(batch))
             for i, text in enumerate(batch["text"]):
-                words, distinct = _split(text)
+                n_words, distinct, shouts = _split(text)
                 # sorted, so that the sum doesn't depend on the order of a set
-                latent[i] = np.sort(np.fromiter(map(of_word.__getitem__, distinct), float, len(distinct))).sum() + weights[document_features(words, distinct)].sum()
+                latent[i] = np.sort(np.fromiter(map(of_word.__getitem__, distinct), float, len(distinct))).sum() + weights[document_features(n_words, distinct, shouts)].sum()
                 of_word.trim()
             tails = model.tails(latent)
             out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "latent": latent, "expected_grade": tails.sum(axis=1)})
