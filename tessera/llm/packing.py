@@ -36,7 +36,7 @@ def default_tokenizer() -> str:
 #: a word of Latin letters with marks after it: the vocabulary's splitter cuts it there, so both parts are encoded for themselves
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()]+)")
 APART = "\x01"  #: stands between words that are encoded together; words that hold it go alone
-TOGETHER, HELD_WORDS, GROUP_BYTES = 4096, 500_000, 1 << 20
+TOGETHER, HELD_WORDS, HELD_PARTS, GROUP_BYTES = 4096, 300_000, 150_000, 1 << 20
 
 
 class WordEncoder:
@@ -76,7 +76,7 @@ class WordEncoder:
         if len(self.words) > HELD_WORDS:
             self.words.clear()
         new = [w for w in words if w not in self.words]
-        if len(self.parts) > HELD_WORDS:
+        if len(self.parts) > HELD_PARTS:
             self.parts.clear()
         cuts = []
         for w in new:

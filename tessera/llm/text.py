@@ -31,7 +31,7 @@ class WordMap(dict):
 
 
 def hash64() -> WordMap:
-    return WordMap(xxhash.xxh3_64_intdigest)
+    return WordMap(xxhash.xxh3_64_intdigest, most=100_000)
 
 
 def n_words(text: Column) -> Column:
