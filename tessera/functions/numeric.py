@@ -45,13 +45,24 @@ def not_valid(col: Column) -> Column:
     return F.count_if(~flag(col))
 
 
+def _sum(col: Column) -> Column:
+    """Sum as a double, null over no values.
+
+    Added up as decimal(38,10), so exactly and in any order, where all values and their sum fit that
+    type; as doubles where one doesn't (28 digits before the point, NaN, infinity).
+    """
+    exact = col.try_cast("decimal(38,10)")
+    fits = F.count(exact) == F.count(col)
+    return F.coalesce(F.when(fits, F.try_sum(exact).cast("double")), F.sum(col.cast("double")))
+
+
 def total(col: Column) -> Column:
-    """Sum in cents, 0 for a group without values: exact, whatever the order of rows."""
-    return F.coalesce(F.sum(col.cast("decimal(18,2)")), F.lit(0)).cast("double")
+    """Sum, 0.0 for a group without values."""
+    return F.coalesce(_sum(col), F.lit(0.0))
 
 
 def average(col: Column) -> Column:
-    return F.try_divide(F.sum(col.cast("decimal(18,2)")).cast("double"), F.count(col).cast("double"))
+    return F.try_divide(_sum(col), F.count(col).cast("double"))
 
 
 def stable_values(col: Column) -> Column:
@@ -65,9 +76,5 @@ def representative(col: Column) -> Column:
     return F.when(low == high, low).when(low.isNotNull(), F.lit("MULTIPLE_VALUES"))
 
 
-def quantile_or_zero(col: Column, q: float) -> Column:
-    return F.coalesce(F.percentile(col, q), F.lit(0.0))
-
-
 def priority(signals: Column) -> Column:
     return F.when(signals <= 0, "LOW").when(signals <= 2, "WATCH").otherwise("ELEVATED_REVIEW")

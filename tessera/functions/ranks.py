@@ -7,33 +7,63 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BANDS = ("LOW", "MEDIUM", "HIGH", "VERY_HIGH")
 
 
+BUCKETS = 64
+
+
+def counts_below(df: DataFrame, value: str) -> DataFrame:
+    """(v, n, upto): each non-null value with its count and the count of all values up to it.
+
+    Values are counted first, then added up in ranges between approximate quantiles, so neither a task
+    nor a buffer holds all of them. The value is compared as a double.
+    """
+    held = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    bounds = held.agg(F.percentile_approx("v", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).scalar()
+    keyed = held.withColumn("bounds", bounds).withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("v"))))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = keyed.groupBy("bucket").agg(F.sum("n").alias("all")).select("bucket", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))  # 64 rows at most
+    own = Window.partitionBy("bucket").orderBy("v")
+    return keyed.withColumn("own", F.sum("n").over(own)).join(F.broadcast(base), "bucket").select("v", "n", (F.col("own") + F.col("base")).alias("upto"))
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row: for each name the interpolated quantile of a column, null over no values."""
+    one = None
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        total = df.agg(F.count(column)).scalar()
+        found = counts_below(df, column)
+        figures = []
+        for name, (of, q) in wanted.items():
+            if of == column:
+                place = (total - 1) * q
+                low, high = F.floor(place), F.ceil(place)
+                at = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("v")))
+                figures.append(F.when(low == high, at(low)).otherwise((high - place) * at(low) + (place - low) * at(high)).alias(name))
+        row = found.agg(*figures)
+        one = row if one is None else one.crossJoin(F.broadcast(row))  # single rows
+    return one.select(*wanted)
+
+
 def with_global_rank(df: DataFrame, value: str, tie: list[str], out: str = "_rank") -> DataFrame:
     """Row number among non-null values by (value, tie), counted in ranges so that no task sees all rows.
 
-    Null values get a null rank.
+    Rows of null values get a null rank and are in no range.
     """
-    buckets = 64
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
-    bounds = sorted(set(cuts))
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + (F.col(value) > b).cast("int")
-    keyed = df.withColumn("_bucket", bucket)
-    counts = keyed.where(F.col(value).isNotNull()).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    known = df.where(F.col(value).isNotNull())
+    bounds = known.agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).scalar()
+    keyed = known.withColumn("_bounds", bounds).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # 64 rows at most
     own = Window.partitionBy("_bucket").orderBy(F.col(value), *tie)
-    ranked = keyed.join(F.broadcast(base), "_bucket", "left").withColumn(out, F.when(F.col(value).isNotNull(), F.row_number().over(own) + F.col("_base")))
-    return ranked.drop("_bucket", "_base")
+    ranked = keyed.join(F.broadcast(base), "_bucket").withColumn(out, F.row_number().over(own) + F.col("_base")).drop("_bucket", "_base")
+    return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("long")))
 
 
-def with_percent_rank(df: DataFrame, value: str, tie: list[str], out: str) -> DataFrame:
-    """Average rank of ties over the count of non-null values."""
-    ranked = with_global_rank(df, value, tie)
-    same = Window.partitionBy(value)
-    n = df.agg(F.count(value).alias("_total"))
-    mean = (F.min("_rank").over(same) + F.max("_rank").over(same)) / 2
-    return ranked.crossJoin(F.broadcast(n)).withColumn(out, F.when(F.col(value).isNotNull(), mean / F.col("_total"))).drop("_rank", "_total")
+def with_percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Average rank of ties over the count of non-null values; null for null."""
+    total = df.agg(F.count(value)).scalar()
+    ranks = counts_below(df, value).select(F.col("v").alias("_v"), ((F.col("upto") - (F.col("n") - 1) / 2) / total).alias(out))
+    return df.join(ranks, F.col(value).cast("double") == F.col("_v"), "left").drop("_v")
 
 
 def quartile_band(rank: Column, n: Column) -> Column:
@@ -42,13 +72,11 @@ def quartile_band(rank: Column, n: Column) -> Column:
     return F.when(rank.isNotNull(), F.element_at(F.array(*[F.lit(b) for b in BANDS]), over + 1))
 
 
-def zscore(value: str, group: str) -> Column:
-    w = Window.partitionBy(group)
-    spread = F.stddev_samp(value).over(w)
-    return F.try_divide(F.col(value) - F.avg(value).over(w), F.when(spread != 0, spread))
+def zscore(value: Column, mean: Column, spread: Column) -> Column:
+    return F.try_divide(value - mean, F.when(spread != 0, spread))
 
 
 def iqr_bounds(df: DataFrame, value: str) -> DataFrame:
     """One row: q1, q3, lower, upper."""
-    q = df.agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    q = exact_quantiles(df, {"q1": (value, 0.25), "q3": (value, 0.75)})
     return q.withColumn("lower", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("upper", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))

@@ -39,10 +39,11 @@ def transaction_eda(df: DataFrame) -> DataFrame:
     return signal_counts(velocity(out))
 
 
-def velocity(df: DataFrame, minutes: float = 5) -> DataFrame:
-    """Previous transaction of the user and the minutes since; a null user has none."""
-    w = Window.partitionBy("user_id").orderBy(F.col("timestamp").asc_nulls_last(), "txn_id")
-    before = df.withColumn("user_prev_txn_timestamp", F.when(F.col("user_id").isNotNull(), F.lag("timestamp").over(w)))
+def velocity(df: DataFrame, minutes: float = 5, order: str | None = None) -> DataFrame:
+    """Previous transaction of the user and the minutes since; a null user has none. Equal times go by ``order`` (a source order column), then txn_id."""
+    w = Window.partitionBy("user_id").orderBy(F.col("timestamp").asc_nulls_last(), *([order] if order else []), "txn_id")
+    known = df.where(F.col("user_id").isNotNull()).withColumn("user_prev_txn_timestamp", F.lag("timestamp").over(w))
+    before = known.unionByName(df.where(F.col("user_id").isNull()).withColumn("user_prev_txn_timestamp", F.lit(None).cast("timestamp_ntz")))
     since = D.seconds_between(F.col("timestamp"), F.col("user_prev_txn_timestamp")) / 60
     return before.withColumn("minutes_since_prev_user_txn", since).withColumn("rapid_user_txn_flag", N.flag(F.col("minutes_since_prev_user_txn") <= minutes))
 
@@ -53,7 +54,7 @@ def signal_counts(df: DataFrame) -> DataFrame:
 
 
 def amount_percentile(df: DataFrame) -> DataFrame:
-    return R.with_percent_rank(df, "amount", ["txn_id"], "amount_percentile")
+    return R.with_percent_rank(df, "amount", "amount_percentile")
 
 
 def _stats(prefix: str, other: str) -> list[Column]:
@@ -120,16 +121,9 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataF
 def describe(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, std, min, exact quartiles, max."""
     c = F.col(column)
-    return df.agg(
-        F.count(c).alias("count"),
-        F.avg(c).alias("mean"),
-        F.stddev_samp(c).alias("std"),
-        F.min(c).alias("min"),
-        F.percentile(c, 0.25).alias("p25"),
-        F.percentile(c, 0.5).alias("p50"),
-        F.percentile(c, 0.75).alias("p75"),
-        F.max(c).alias("max"),
-    )
+    figures = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    quartiles = R.exact_quantiles(df, {f"p{100 * k // 4}": (column, k / 4) for k in (1, 2, 3)})
+    return figures.crossJoin(F.broadcast(quartiles)).select("count", "mean", "std", "min", "p25", "p50", "p75", "max")  # single rows
 
 
 def _blank(column: str) -> Column:
@@ -155,7 +149,7 @@ def merchant_eda(df: DataFrame, reference: str = MERCHANT_REFERENCE) -> DataFram
     marked = marked.withColumns(
         {"is_active": N.flag(status.isin("ACTIVE", "A")), "is_inactive": N.flag(status.isin("INACTIVE", "I")), "is_suspended": N.flag(status.isin("SUSPENDED", "S"))}
     )
-    limits = df.agg(F.percentile("declared_avg_ticket_size", 0.75).alias("_high"), F.count("declared_avg_ticket_size").alias("_n"))
+    limits = R.exact_quantiles(df, {"_high": ("declared_avg_ticket_size", 0.75)}).crossJoin(df.agg(F.count("declared_avg_ticket_size").alias("_n")))  # single rows
     ranked = R.with_global_rank(marked, "declared_avg_ticket_size", ["merchant_id", "merchant_category"]).crossJoin(F.broadcast(limits))
     high = N.flag(ticket >= F.col("_high"))
     return ranked.withColumns(

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import dates as D, numeric as N, ranks as R
+from tessera.operators.guards import null_safe_join
 
 
 def with_threshold(df: DataFrame, value: str, q: float, out: str) -> DataFrame:
     """``out``: value at or over the exact quantile of its column; null stays null."""
-    limit = df.agg(N.quantile_or_zero(F.col(value), q).alias("_limit"))
+    limit = R.exact_quantiles(df, {"_limit": (value, q)}).select(F.coalesce("_limit", F.lit(0.0)).alias("_limit"))
     return df.crossJoin(F.broadcast(limit)).withColumn(out, F.col(value) >= F.col("_limit")).drop("_limit")  # one row
 
 
+def with_group_figures(df: DataFrame, key: str, **figures: Column) -> DataFrame:
+    """Aggregates of the rows of a key beside each of them; null is a key. Aggregated and joined, so that a hot key is no single task."""
+    by_key = df.groupBy(key).agg(*[v.alias(k) for k, v in figures.items()])
+    return null_safe_join(df, by_key, [key])
+
+
 def _is(column: str, *values: str) -> Column:
     return N.flag(F.col(column).isin(*values))
 
@@ -22,8 +29,9 @@ def transaction_features(df: DataFrame) -> DataFrame:
     dated = df.withColumns({"transaction_date": F.to_date(ts), "transaction_hour": F.hour(ts).cast("long"), "transaction_day_of_week": D.day_name(ts)})
     stated = dated.withColumns({f"is_{s.lower()}_transaction": _is("status", s) for s in ("COMPLETED", "FAILED", "PENDING")})
     valued = with_threshold(stated, "amount", 0.95, "is_high_value_transaction")
-    counted = valued.withColumns({f"{k}_transaction_count": N.count_all().over(Window.partitionBy(f"{k}_id")) for k in ("user", "merchant")})
-    scored = counted.withColumn("user_amount_zscore", R.zscore("amount", "user_id"))
+    counted = with_group_figures(valued, "user_id", user_transaction_count=N.count_all(), _mean=F.avg("amount"), _spread=F.stddev_samp("amount"))
+    counted = with_group_figures(counted, "merchant_id", merchant_transaction_count=N.count_all())
+    scored = counted.withColumn("user_amount_zscore", R.zscore(F.col("amount"), F.col("_mean"), F.col("_spread"))).drop("_mean", "_spread")
     return scored.withColumn("is_user_amount_anomaly", N.flag(F.abs("user_amount_zscore") >= 2.5))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.functions import dates as D
+from tessera.functions import dates as D, numeric as N
+from tessera.operators.features import chargeback_features
 
 
 def short_id(col: Column, prefix: str, digits: int) -> Column:
@@ -42,6 +43,103 @@ def trailing_mcc(col: Column) -> Column:
     return F.when(digits != "", digits)
 
 
-def report_row(issue: str, column: str, rule: str, before: Column, after: Column) -> list[Column]:
-    """The older report shape: Issue, Column, Rule, Before, After."""
-    return [F.lit(issue).alias("Issue"), F.lit(column).alias("Column"), F.lit(rule).alias("Rule"), before.alias("Before"), after.alias("After")]
+# fixed values: labels of the older chargeback tables, as they are written
+REASON_LABELS = {
+    "charged twice": "DUPLICATE_DEBIT",
+    "DUP_DEBIT": "DUPLICATE_DEBIT",
+    "Duplicate Debit": "DUPLICATE_DEBIT",
+    "double debit": "DUPLICATE_DEBIT",
+    "dup debit": "DUPLICATE_DEBIT",
+    "amount mismatch": "AMOUNT_MISMATCH",
+    "Wrong Amount": "AMOUNT_MISMATCH",
+    "extra amount deducted": "AMOUNT_MISMATCH",
+    "incorrect amount": "AMOUNT_MISMATCH",
+    "ATO": "ACCOUNT_TAKEOVER",
+    "Account Takeover": "ACCOUNT_TAKEOVER",
+    "account hacked": "ACCOUNT_TAKEOVER",
+    "login compromised": "ACCOUNT_TAKEOVER",
+    "Merchant Not Delivered": "SERVICE_NOT_PROVIDED",
+    "Service Not Provided": "SERVICE_NOT_PROVIDED",
+    "delivery issue": "SERVICE_NOT_PROVIDED",
+    "item not received": "SERVICE_NOT_PROVIDED",
+    "merchant service issue": "SERVICE_NOT_PROVIDED",
+    "no service": "SERVICE_NOT_PROVIDED",
+    "not delivered": "SERVICE_NOT_PROVIDED",
+    "service failed": "SERVICE_NOT_PROVIDED",
+    "Customer Dispute": "CUSTOMER_DISPUTE",
+    "customer issue": "CUSTOMER_DISPUTE",
+    "dispute raised": "CUSTOMER_DISPUTE",
+    "complaint": "CUSTOMER_DISPUTE",
+    "FRAUD": "UNAUTHORIZED_TRANSACTION",
+    "Fraud Suspected": "UNAUTHORIZED_TRANSACTION",
+    "fraud": "UNAUTHORIZED_TRANSACTION",
+    "not done by me": "UNAUTHORIZED_TRANSACTION",
+    "scam": "UNAUTHORIZED_TRANSACTION",
+    "suspicious transaction": "UNAUTHORIZED_TRANSACTION",
+    "unauth txn": "UNAUTHORIZED_TRANSACTION",
+    "UNAUTHORISED": "UNAUTHORIZED_TRANSACTION",
+    "Unauthorized Transaction": "UNAUTHORIZED_TRANSACTION",
+    "unauthorized_transaction": "UNAUTHORIZED_TRANSACTION",
+}
+RESOLUTION_LABELS = {
+    "CLOSED": "CLOSED",
+    "Closed": "CLOSED",
+    "IN_PROGRESS": "IN_PROGRESS",
+    "In Progress": "IN_PROGRESS",
+    "WIP": "IN_PROGRESS",
+    "OPEN": "OPEN",
+    "Open": "OPEN",
+    "PENDING_BANK": "PENDING_BANK",
+    "Pending Bank": "PENDING_BANK",
+    "REJECTED": "REJECTED",
+    "Rejected": "REJECTED",
+    "RESOLVED": "RESOLVED",
+    "Resolved": "RESOLVED",
+}
+SEVERITY_LABELS = {
+    "CRIT": "CRITICAL",
+    "Critical": "CRITICAL",
+    "CRITICAL": "CRITICAL",
+    "P1": "CRITICAL",
+    "H": "HIGH",
+    "High": "HIGH",
+    "HIGH": "HIGH",
+    "P2": "HIGH",
+    "M": "MEDIUM",
+    "Medium": "MEDIUM",
+    "MEDIUM": "MEDIUM",
+    "P3": "MEDIUM",
+    "L": "LOW",
+    "Low": "LOW",
+    "LOW": "LOW",
+    "P4": "LOW",
+}
+CHANNEL_LABELS = {
+    "App": "APP",
+    "Branch": "BRANCH",
+    "CHATBOT": "CHATBOT",
+    "chatbot": "CHATBOT",
+    "Call Center": "CALL_CENTER",
+    "Email": "EMAIL",
+    "IVR": "IVR",
+    "ivr": "IVR",
+}
+LABELS = {"reason_code": REASON_LABELS, "resolution_status": RESOLUTION_LABELS, "severity": SEVERITY_LABELS, "channel": CHANNEL_LABELS}
+
+
+def labelled(chargebacks: DataFrame) -> DataFrame:
+    """Category columns by the older label tables; a label that isn't written there is null."""
+    return chargebacks.withColumns({c: exact_label(F.col(c), m) for c, m in LABELS.items() if c in chargebacks.columns})
+
+
+def chargeback_features_false(chargebacks: DataFrame) -> DataFrame:
+    """The chargeback features with false wherever a compared value is null."""
+    out = chargeback_features(chargebacks)
+    return out.withColumn("is_high_value_dispute", N.flag(F.col("is_high_value_dispute")))
+
+
+def report(audit: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """An audit in the older shape: Issue, Column, Rule_Applied, Rows_Affected, Before_Count, After_Count."""
+    sizes = before.agg(N.count_all().alias("Before_Count")).crossJoin(after.agg(N.count_all().alias("After_Count")))  # single rows
+    rows = audit.select(F.col("issue").alias("Issue"), F.col("column").alias("Column"), F.col("rule").alias("Rule_Applied"), F.col("numerator").alias("Rows_Affected"))
+    return rows.crossJoin(F.broadcast(sizes))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import numeric as N
 from tessera.functions.constants import MIN_MERCHANT_TRANSACTIONS, NO_SIGNAL
+from tessera.functions.ranks import exact_quantiles
+from tessera.operators.guards import require_unique
 
 _FILLED = ("disputed_amount", "chargeback_amount", "total_transaction_value", "average_transaction_value", "unique_merchants", "unique_users")
 
@@ -23,9 +25,10 @@ def fill_counts(df: DataFrame) -> DataFrame:
     return df.withColumns({c: N.zero(F.col(c)) for c in df.columns if c.endswith("_count") or c in _FILLED})
 
 
-def _with_limits(df: DataFrame, **limits: Column) -> DataFrame:
-    """One-row aggregates of the whole mart beside every row."""
-    return df.crossJoin(F.broadcast(df.agg(*[v.alias(k) for k, v in limits.items()])))
+def _with_limits(df: DataFrame, **limits: tuple[str, float]) -> DataFrame:
+    """Quantiles of the whole mart (0 over no values) beside every row."""
+    one = exact_quantiles(df, limits)
+    return df.crossJoin(F.broadcast(one.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in limits])))  # one row
 
 
 def _explained(df: DataFrame, reasons: list[tuple[Column, str]]) -> DataFrame:
@@ -36,6 +39,7 @@ def _explained(df: DataFrame, reasons: list[tuple[Column, str]]) -> DataFrame:
     return out.withColumn("investigation_priority", N.priority(F.col("risk_signal_count")))
 
 
+# fixed values: the words of the reasons below are compared by readers of the marts
 def _shared_reasons() -> list[tuple[Column, str]]:
     return [
         (F.col("high_chargeback_activity_flag"), "high chargeback activity"),
@@ -55,7 +59,9 @@ def _dispute_figures(linkage: DataFrame, key: str, amount: str, more: dict[str,
     )
 
 
-def user_mart(transactions: DataFrame, linkage: DataFrame, kyc: DataFrame) -> DataFrame:
+def user_mart(transactions: DataFrame, linkage: DataFrame, kyc: DataFrame, guard: bool = True) -> DataFrame:
+    if guard:
+        require_unique(kyc, ["user_id"], "the profile summary has several rows for a user")
     paid = transactions.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
         N.count_all().alias("transaction_count"),
         N.total(F.col("amount")).alias("total_transaction_value"),
@@ -69,7 +75,7 @@ def user_mart(transactions: DataFrame, linkage: DataFrame, kyc: DataFrame) -> Da
     disputed = _dispute_figures(linkage, "user_id", "disputed_amount", {"unauthorized_transaction_count": "is_unauthorized_transaction", "account_takeover_count": "is_account_takeover"})
     everyone = key_universe("user_id", transactions, linkage, kyc)
     mart = fill_counts(everyone.join(paid, "user_id", "left").join(disputed, "user_id", "left").join(kyc.where("user_id is not null"), "user_id", "left"))
-    mart = _with_limits(mart, _txn=N.quantile_or_zero(F.col("transaction_count"), 0.95), _cb=N.quantile_or_zero(F.col("chargeback_count"), 0.95))
+    mart = _with_limits(mart, _txn=("transaction_count", 0.95), _cb=("chargeback_count", 0.95))
     mart = mart.withColumns(
         {
             "high_transaction_frequency_flag": (F.col("transaction_count") >= F.col("_txn")) & (F.col("transaction_count") > 0),
@@ -80,7 +86,9 @@ def user_mart(transactions: DataFrame, linkage: DataFrame, kyc: DataFrame) -> Da
     return _explained(mart, [(F.col("high_transaction_frequency_flag"), "unusually high transaction frequency"), *_shared_reasons(), *own])
 
 
-def merchant_mart(transactions: DataFrame, linkage: DataFrame, reference: DataFrame, least: int = MIN_MERCHANT_TRANSACTIONS) -> DataFrame:
+def merchant_mart(transactions: DataFrame, linkage: DataFrame, reference: DataFrame, least: int = MIN_MERCHANT_TRANSACTIONS, guard: bool = True) -> DataFrame:
+    if guard:
+        require_unique(reference, ["merchant_id"], "the reference summary has several rows for a merchant")
     paid = transactions.where(F.col("merchant_id").isNotNull()).groupBy("merchant_id").agg(
         N.count_all().alias("transaction_count"),
         N.total(F.col("amount")).alias("total_transaction_value"),
@@ -95,7 +103,7 @@ def merchant_mart(transactions: DataFrame, linkage: DataFrame, reference: DataFr
     mart = mart.withColumn("chargeback_records_per_transaction", rate).withColumn("chargeback_rate_eligible", F.col("transaction_count") >= least)
     mart = mart.withColumn("chargeback_rate_min_volume", F.when(F.col("chargeback_rate_eligible"), F.col("chargeback_records_per_transaction")))
     mart = mart.withColumn("ticket_size_variance_ratio", F.try_divide(F.col("average_transaction_value"), F.col("declared_avg_ticket_size")))
-    mart = _with_limits(mart, _rate=N.quantile_or_zero(F.col("chargeback_rate_min_volume"), 0.90), _cb=N.quantile_or_zero(F.col("chargeback_count"), 0.95))
+    mart = _with_limits(mart, _rate=("chargeback_rate_min_volume", 0.90), _cb=("chargeback_count", 0.95))
     mart = mart.withColumns(
         {
             "high_chargeback_rate_flag": N.flag(F.col("chargeback_rate_min_volume") >= F.col("_rate")) & F.col("chargeback_rate_eligible"),
@@ -110,6 +118,6 @@ def merchant_mart(transactions: DataFrame, linkage: DataFrame, reference: DataFr
     return _explained(mart, [*_shared_reasons(), *own])
 
 
-def risk_marts(integrated: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def risk_marts(integrated: dict[str, DataFrame], guard: bool = True) -> dict[str, DataFrame]:
     t, link = integrated["transactions"], integrated["linkage"]
-    return {"users": user_mart(t, link, integrated["kyc_summary"]), "merchants": merchant_mart(t, link, integrated["merchant_summary"])}
+    return {"users": user_mart(t, link, integrated["kyc_summary"], guard), "merchants": merchant_mart(t, link, integrated["merchant_summary"], guard=guard)}

@@ -142,7 +142,7 @@ link AS (
   SELECT *, CASE WHEN txn_id IS NULL THEN 'MISSING_TXN_ID' WHEN NOT transaction_record_found THEN 'UNMATCHED_TRANSACTION' WHEN identity_mismatch THEN 'IDENTITY_MISMATCH'
     WHEN network_disconnected THEN 'RELATIONSHIP_MISMATCH' ELSE 'MATCHED_IDENTITIES' END AS linkage_status FROM link2),
 by_txn AS (
-  SELECT txn_id, count(*) AS chargeback_count, CAST(coalesce(sum(CAST(disputed_amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS chargeback_amount,
+  SELECT txn_id, count(*) AS chargeback_count, round(coalesce(fsum(disputed_amount), 0), 6) AS chargeback_amount,
     count(*) FILTER (is_high_severity) AS high_severity_chargeback_count, count(*) FILTER (identity_mismatch) AS identity_mismatch_count,
     count(*) FILTER (network_disconnected) AS disconnected_relationship_count FROM link GROUP BY txn_id),
 rich AS (
@@ -151,13 +151,13 @@ rich AS (
     coalesce(disconnected_relationship_count, 0) AS disconnected_relationship_count
   FROM txnff t LEFT JOIN kycs k USING (user_id) LEFT JOIN mchs m USING (merchant_id) LEFT JOIN by_txn b USING (txn_id)),
 user_paid AS (
-  SELECT user_id, count(*) AS transaction_count, CAST(coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS total_transaction_value,
-    CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(amount), 0) AS average_transaction_value, count(DISTINCT merchant_id) AS unique_merchants,
+  SELECT user_id, count(*) AS transaction_count, round(coalesce(fsum(amount), 0), 6) AS total_transaction_value,
+    round(fsum(amount), 6) / nullif(count(amount), 0) AS average_transaction_value, count(DISTINCT merchant_id) AS unique_merchants,
     count(*) FILTER (is_failed_transaction) AS failed_transaction_count, count(*) FILTER (is_pending_transaction) AS pending_transaction_count,
     count(*) FILTER (is_high_value_transaction) AS high_value_transaction_count, count(*) FILTER (is_user_amount_anomaly) AS amount_anomaly_count
   FROM txnff WHERE user_id IS NOT NULL GROUP BY user_id),
 user_cb AS (
-  SELECT user_id, count(*) AS chargeback_count, CAST(coalesce(sum(CAST(disputed_amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS disputed_amount,
+  SELECT user_id, count(*) AS chargeback_count, round(coalesce(fsum(disputed_amount), 0), 6) AS disputed_amount,
     count(*) FILTER (is_high_severity) AS high_severity_chargeback_count, count(*) FILTER (is_unauthorized_transaction) AS unauthorized_transaction_count,
     count(*) FILTER (is_account_takeover) AS account_takeover_count, count(*) FILTER (identity_mismatch) AS identity_mismatch_count,
     count(*) FILTER (network_disconnected) AS disconnected_relationship_count FROM link WHERE user_id IS NOT NULL GROUP BY user_id),
@@ -185,11 +185,11 @@ users AS (
     CASE WHEN n = 0 THEN 'LOW' WHEN n <= 2 THEN 'WATCH' ELSE 'ELEVATED_REVIEW' END AS investigation_priority
   FROM (SELECT *, CASE WHEN why = '' THEN 0 ELSE len(string_split(why, '; ')) END AS n FROM users2)),
 mch_paid AS (
-  SELECT merchant_id, count(*) AS transaction_count, CAST(coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS total_transaction_value,
-    CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(amount), 0) AS average_transaction_value, count(DISTINCT user_id) AS unique_users,
+  SELECT merchant_id, count(*) AS transaction_count, round(coalesce(fsum(amount), 0), 6) AS total_transaction_value,
+    round(fsum(amount), 6) / nullif(count(amount), 0) AS average_transaction_value, count(DISTINCT user_id) AS unique_users,
     count(*) FILTER (is_failed_transaction) AS failed_transaction_count FROM txnff WHERE merchant_id IS NOT NULL GROUP BY merchant_id),
 mch_cb AS (
-  SELECT merchant_id, count(*) AS chargeback_count, CAST(coalesce(sum(CAST(disputed_amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS chargeback_amount,
+  SELECT merchant_id, count(*) AS chargeback_count, round(coalesce(fsum(disputed_amount), 0), 6) AS chargeback_amount,
     count(*) FILTER (is_high_severity) AS high_severity_chargeback_count, count(*) FILTER (identity_mismatch) AS identity_mismatch_count,
     count(*) FILTER (network_disconnected) AS disconnected_relationship_count FROM link WHERE merchant_id IS NOT NULL GROUP BY merchant_id),
 merchants0 AS (
@@ -218,9 +218,9 @@ merchants AS (
   SELECT * EXCLUDE (why, n), n AS risk_signal_count, CASE WHEN why = '' THEN 'No elevated analytical signals in the available data.' ELSE why END AS risk_explanations,
     CASE WHEN n = 0 THEN 'LOW' WHEN n <= 2 THEN 'WATCH' ELSE 'ELEVATED_REVIEW' END AS investigation_priority
   FROM (SELECT *, CASE WHEN why = '' THEN 0 ELSE len(string_split(why, '; ')) END AS n FROM merchants3)),
-paid_edges AS (SELECT user_id, merchant_id, count(*) AS transaction_count, CAST(coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS transaction_amount FROM txn GROUP BY 1, 2),
+paid_edges AS (SELECT user_id, merchant_id, count(*) AS transaction_count, round(coalesce(fsum(amount), 0), 6) AS transaction_amount FROM txn GROUP BY 1, 2),
 cb_edges AS (
-  SELECT user_id, merchant_id, count(*) AS chargeback_count, CAST(coalesce(sum(CAST(disputed_amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS chargeback_amount,
+  SELECT user_id, merchant_id, count(*) AS chargeback_count, round(coalesce(fsum(disputed_amount), 0), 6) AS chargeback_amount,
     count(*) FILTER (identity_mismatch) AS identity_mismatch_count, count(*) FILTER (network_disconnected) AS disconnected_relationship_count FROM link GROUP BY 1, 2),
 edges AS (
   SELECT coalesce(p.user_id, c.user_id) AS source, coalesce(p.merchant_id, c.merchant_id) AS target, coalesce(transaction_count, 0) AS transaction_count,

@@ -35,7 +35,7 @@ def build(raw: Mapping[str, DataFrame], guard: bool = True, network: bool = True
     tables |= {f"{n}_features": f for n, f in features.items()}
     linked = integrate(features, guard)
     tables |= linked | {n: cut(linked[n]) for n in ("transactions", "linkage", "kyc_summary", "merchant_summary")}
-    tables |= {n: cut(m) for n, m in risk_marts(tables).items()}
+    tables |= {n: cut(m) for n, m in risk_marts(tables, guard).items()}
     if network:
         tables |= build_network(tables["transactions"], tables["linkage"], tables["users"], tables["merchants"])
     return tables
@@ -51,9 +51,19 @@ def run(spark: SparkSession, paths: Mapping[str, str], folder: str) -> dict:
 _BUILT: dict[tuple, dict[str, DataFrame]] = {}
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the files of the driver tables, so that a changed table is built anew."""
+    found = []
+    for name in ("orders", "lineitem", "customer", "nation", "supplier", "events"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(sorted(found))
+
+
 def from_driver_tables(spark: SparkSession, sf_dir: str, network: bool = False) -> dict[str, DataFrame]:
-    """The pipeline over the driver tables in their payment roles, built once a session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, network)
+    """The pipeline over the driver tables in their payment roles, built once a session and state of the files."""
+    key = (spark.sparkContext.applicationId, network, _stamp(spark, sf_dir))
     if key not in _BUILT:
-        _BUILT[key] = build(raw_tables(spark, sf_dir), guard=False, network=network)
+        _BUILT[key] = build(raw_tables(spark, sf_dir), network=network)
     return _BUILT[key]

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import dates as D, text as T
 from tessera.operators import eda, graph, legacy, quality
-from tessera.plans import reports as R
+from tessera.plans import audit_oracle as A, reports as R
 from tessera.plans.ask import ask
 from tessera.plans.oracle import sql
 from tessera.plans.pipeline import from_driver_tables
+from tessera.sources.adapters import raw_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,22 +39,8 @@ _add("clean_transactions", lambda t: t["transactions_cleaned"], "SELECT * FROM t
 _add("clean_kyc", lambda t: t["kyc_cleaned"], "SELECT * FROM kyc")
 _add("clean_merchants", lambda t: t["merchants_cleaned"], "SELECT * FROM mch")
 _add("clean_chargebacks", lambda t: t["chargebacks_cleaned"], "SELECT * FROM cb")
-_add(
-    "audit_transactions_flags",
-    lambda t: t["transactions_audit"].where("issue in ('transactions invalid negative monetary values', 'transactions exact duplicates removed', 'transactions invalid MCC', 'transactions unmapped category values', 'transactions timestamp parse failures')").select("issue", "column", "numerator", "denominator", "percentage"),
-    """SELECT issue, "column", numerator, denominator, round(100.0 * numerator / denominator, 2) AS percentage FROM (
-      SELECT 'transactions exact duplicates removed' AS issue, 'ALL' AS "column", d AS numerator, n AS denominator FROM raw
-      UNION ALL SELECT 'transactions invalid negative monetary values', 'amount', (SELECT count(*) FROM txn WHERE amount_invalid_flag), n FROM raw
-      UNION ALL SELECT 'transactions timestamp parse failures', 'timestamp', (SELECT count(*) FROM txn WHERE timestamp_parse_failure_flag), n FROM raw
-      UNION ALL SELECT 'transactions invalid MCC', 'mcc', (SELECT count(*) FROM txn WHERE mcc IS NOT NULL AND NOT mcc_valid), n FROM raw
-      UNION ALL SELECT 'transactions unmapped category values', 'status', (SELECT count(*) FROM txn WHERE status_unmapped_flag), n FROM raw)""",
-    "raw AS (SELECT count(*) + count(*) FILTER (o_orderkey % 25 = 0) AS n, count(*) FILTER (o_orderkey % 25 = 0) AS d FROM orders)",
-)
-_add("audit_kyc_missing", lambda t: t["kyc_audit"].where("issue = 'kyc missing values after cleaning'").select("column", "numerator", "denominator"), 'SELECT "column", numerator, denominator FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM kyc) ON COLUMNS(*) INTO NAME "column" VALUE numerator), (SELECT count(*) AS denominator FROM kyc)')
-_add("audit_transactions", lambda t: t["transactions_audit"], None)
-_add("audit_kyc", lambda t: t["kyc_audit"], None)
-_add("audit_merchants", lambda t: t["merchants_audit"], None)
-_add("audit_chargebacks", lambda t: t["chargebacks_audit"], None)
+for _name in A.TABLES:
+    _add(f"audit_{_name}", lambda t, n=_name: t[f"{n}_audit"].select("dataset", "issue", "column", "numerator", "denominator", "percentage"), A.audit(_name))
 _add(
     "validation_keys",
     lambda t: t["validation"].where("check in ('unique nonmissing txn_id', 'unique complaint_id', 'repeated user_id', 'repeated merchant_id')").select("dataset", "check", "numerator", "denominator", "status"),
@@ -62,11 +49,11 @@ _add(
     UNION ALL SELECT 'kyc', 'repeated user_id', count(user_id) - count(DISTINCT user_id), count(user_id), 'WARN' FROM kyc
     UNION ALL SELECT 'merchants', 'repeated merchant_id', count(merchant_id) - count(DISTINCT merchant_id), count(merchant_id), 'WARN' FROM mch""",
 )
-_add("validation_all", lambda t: t["validation"], None)
-_add("validation_totals", lambda t: R.check_totals(t["validation"]), None)
+_add("validation_all", lambda t: t["validation"].select("dataset", "check", "numerator", "denominator", "percentage", "status"), A.validation())
+_add("validation_totals", lambda t: R.check_totals(t["validation"]), f"SELECT count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'WARN') AS warn, count(*) FILTER (status = 'FAIL') AS fail FROM ({A.validation()})")
 _add("null_profile", lambda t: quality.null_counts(t["chargebacks_cleaned"]), 'SELECT "column", missing, rows FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM cb) ON COLUMNS(*) INTO NAME "column" VALUE missing), (SELECT count(*) AS rows FROM cb)')
 _add("quality_profile", lambda t: quality.quality_profile(t["transactions_cleaned"].select("txn_id", "utr", "mcc", "status")), """
-    SELECT c AS "column", m AS missing_count, round(100.0 * m / n, 2) AS missing_pct, u AS unique_values FROM (
+    SELECT c AS "column", m AS missing_count, round_even(100.0 * m / n, 2) AS missing_pct, u AS unique_values FROM (
       SELECT 'txn_id' AS c, count(*) - count(txn_id) AS m, count(DISTINCT txn_id) AS u, count(*) AS n FROM txn UNION ALL SELECT 'utr', count(*) - count(utr), count(DISTINCT utr), count(*) FROM txn
       UNION ALL SELECT 'mcc', count(*) - count(mcc), count(DISTINCT mcc), count(*) FROM txn UNION ALL SELECT 'status', count(*) - count(status), count(DISTINCT status), count(*) FROM txn)""")
 
@@ -105,30 +92,21 @@ _add("network_degrees", lambda t: t["nodes"].select("node_id", "node_type", "deg
     SELECT e.node_id, CASE WHEN e.node_id LIKE 'USR%' THEN 'USER' ELSE 'MERCHANT' END AS node_type, coalesce(degree, 0) AS degree,
       coalesce(u.risk_signal_count, m.risk_signal_count, 0) AS risk_signal_count, coalesce(u.investigation_priority, m.investigation_priority, 'LOW') AS investigation_priority
     FROM ends e LEFT JOIN deg USING (node_id) LEFT JOIN users u ON u.user_id = e.node_id LEFT JOIN merchants m ON m.merchant_id = e.node_id""", _NODES, network=True)
-_add("network_nodes", lambda t: t["nodes"], None, network=True)
-_add("network_audit", lambda t: t["network_audit"], None, network=True)
-_add("most_connected", lambda t: R.most_connected(t["nodes"]).drop("component_size"), """
-    SELECT e.node_id, CASE WHEN e.node_id LIKE 'USR%' THEN 'USER' ELSE 'MERCHANT' END AS node_type, coalesce(degree, 0) AS degree FROM ends e LEFT JOIN deg USING (node_id)
-    ORDER BY degree DESC, node_id LIMIT 12""", _NODES, network=True)
-_add("network_components_whole", lambda t: t["nodes"].select("node_id", "component_id", "component_size"), None, network=True)
-
-
-def component_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the pairs of every 50th order only, as its SQL twin states; network_components_whole has all pairs."""
-    t = from_driver_tables(spark, sf_dir)["transactions_cleaned"]
-    few = t.where(F.substring("txn_id", 4, 20).cast("long") % 50 == 0).select("user_id", "merchant_id").where("merchant_id is not null").distinct()
-    found = graph.connected_components(few, "user_id", "merchant_id").withColumnsRenamed({"node": "node_id", "component": "component_id"})
-    sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("component_size"))
-    return found.join(sizes, "component_id").select("node_id", "component_id", "component_size")
-
-
-QUERIES["network_components"] = component_query
-ORACLES["network_components"] = sql(
-    "SELECT node_id, component_id, count(*) OVER (PARTITION BY component_id) AS component_size FROM (SELECT a AS node_id, min(b) AS component_id FROM reach GROUP BY a)",
-    """few AS (SELECT DISTINCT user_id AS a, merchant_id AS b FROM txn WHERE CAST(substr(txn_id, 4) AS BIGINT) % 50 = 0 AND merchant_id IS NOT NULL),
-    ways AS (SELECT a, b FROM few UNION SELECT b, a FROM few),
-    reach AS (SELECT a, a AS b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b)""",
-)
+_PARTS = _NODES + "," + A.COMPONENTS
+_add("network_nodes", lambda t: t["nodes"], """
+    SELECT p.node_id, CASE WHEN p.node_id LIKE 'USR%' THEN 'USER' ELSE 'MERCHANT' END AS node_type, coalesce(degree, 0) AS degree, component_id, component_size, component_size > 1 AS transaction_connected_component,
+      coalesce(u.risk_signal_count, m.risk_signal_count, 0) AS risk_signal_count, coalesce(u.investigation_priority, m.investigation_priority, 'LOW') AS investigation_priority
+    FROM parts p LEFT JOIN deg USING (node_id) LEFT JOIN users u ON u.user_id = p.node_id LEFT JOIN merchants m ON m.merchant_id = p.node_id""", _PARTS, network=True)
+_add("network_audit", lambda t: t["network_audit"].select("check", "numerator", "denominator", "percentage"), """
+    SELECT c AS "check", n AS numerator, d AS denominator, coalesce(round(100.0 * n / nullif(d, 0), 2), 0) AS percentage FROM (
+      SELECT 'transaction network nodes' AS c, count(*) AS n, count(*) AS d FROM ends
+      UNION ALL SELECT 'transaction network edges', count(*) FILTER (relationship_type = 'TRANSACTION_RELATIONSHIP'), count(*) FROM edges
+      UNION ALL SELECT 'chargeback-only relationship edges', count(*) FILTER (relationship_type = 'CHARGEBACK_ONLY'), count(*) FROM edges
+      UNION ALL SELECT 'transaction components', count(DISTINCT component_id), count(*) FROM parts)""", _PARTS, network=True)
+_add("most_connected", lambda t: R.most_connected(t["nodes"]), """
+    SELECT e.node_id, CASE WHEN e.node_id LIKE 'USR%' THEN 'USER' ELSE 'MERCHANT' END AS node_type, coalesce(degree, 0) AS degree, component_size FROM ends e JOIN parts USING (node_id) LEFT JOIN deg USING (node_id)
+    ORDER BY degree DESC, e.node_id LIMIT 12""", _PARTS, network=True)
+_add("network_components", lambda t: t["nodes"].select("node_id", "component_id", "component_size"), "SELECT node_id, component_id, component_size FROM parts", _PARTS, network=True)
 _EGO = """
 whole AS (SELECT source, target FROM edges WHERE source IS NOT NULL AND target IS NOT NULL),
 ways AS (SELECT source AS a, target AS b FROM whole UNION SELECT target, source FROM whole),
@@ -145,12 +123,12 @@ _add("edge_evidence", lambda t: R.edge_evidence(graph.ego_network(graph.network_
 
 # --- report pages -----------------------------------------------------------------------------------------------
 _add("overview", lambda t: R.overview(t["transactions"], t["linkage"], t["users"], t["merchants"]), """
-    SELECT * FROM (SELECT count(*) AS transactions, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS transaction_value, count(*) FILTER (is_failed_transaction) AS failed_transactions FROM txnff),
-      (SELECT count(*) AS chargebacks, CAST(sum(CAST(disputed_amount AS DECIMAL(18,2))) AS DOUBLE) AS disputed_value, count(*) FILTER (identity_mismatch) AS identity_mismatches FROM link),
+    SELECT * FROM (SELECT count(*) AS transactions, round(fsum(amount), 6) AS transaction_value, count(*) FILTER (is_failed_transaction) AS failed_transactions FROM txnff),
+      (SELECT count(*) AS chargebacks, round(fsum(disputed_amount), 6) AS disputed_value, count(*) FILTER (identity_mismatch) AS identity_mismatches FROM link),
       (SELECT count(*) AS users, count(*) FILTER (investigation_priority <> 'LOW') AS users_for_review FROM users),
       (SELECT count(*) AS merchants, count(*) FILTER (investigation_priority <> 'LOW') AS merchants_for_review FROM merchants)""")
 _add("daily_transactions", lambda t: R.daily_transactions(t["transactions"]), """SELECT date_trunc('day', "timestamp")::TIMESTAMP AS day, count(*) AS transactions,
-    CAST(coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS value FROM txn WHERE "timestamp" IS NOT NULL GROUP BY 1""")
+    round(coalesce(fsum(amount), 0), 6) AS value FROM txn WHERE "timestamp" IS NOT NULL GROUP BY 1""")
 _add("daily_chargebacks", lambda t: R.daily_chargebacks(t["linkage"]), "SELECT date_trunc('day', reported_timestamp)::TIMESTAMP AS day, count(*) AS chargebacks FROM cb WHERE reported_timestamp IS NOT NULL GROUP BY 1")
 _add("disputed_merchants", lambda t: R.disputed_merchants(t["merchants"]), "SELECT merchant_id, merchant_name, chargeback_count, investigation_priority FROM merchants WHERE investigation_priority <> 'LOW' ORDER BY chargeback_count DESC, merchant_id LIMIT 10")
 for _kind, _table in (("user", "users"), ("merchant", "merchants")):
@@ -186,8 +164,8 @@ def _ask(name: str, question: str, oracle: str, columns: list[str]) -> None:
     ORACLES[name] = sql(oracle)
 
 
-_ask("ask_chargeback", "why cbk12 ?", "SELECT complaint_id, txn_id, user_id, linkage_status FROM link WHERE complaint_id = 'CBK12'", ["complaint_id", "txn_id", "user_id", "linkage_status"])
-_ask("ask_transaction", "look at TXN12", "SELECT complaint_id, txn_id, linkage_status FROM link WHERE txn_id = 'TXN12'", ["complaint_id", "txn_id", "linkage_status"])
+_ask("ask_chargeback", "why cbk703 ?", "SELECT complaint_id, txn_id, user_id, linkage_status FROM link WHERE complaint_id = 'CBK703'", ["complaint_id", "txn_id", "user_id", "linkage_status"])
+_ask("ask_transaction", "look at TXN7", "SELECT complaint_id, txn_id, linkage_status FROM link WHERE txn_id = 'TXN7'", ["complaint_id", "txn_id", "linkage_status"])
 _ask("ask_user", "Why is USR7 an investigation candidate?", """SELECT txn_id, "timestamp", merchant_id, amount, status, chargeback_count FROM rich WHERE user_id = 'USR7'""", ["txn_id", "timestamp", "merchant_id", "amount", "status", "chargeback_count"])
 _ask("ask_merchant", "and MCH5?", """SELECT txn_id, "timestamp", user_id, amount, status, chargeback_count FROM rich WHERE merchant_id = 'MCH5'""", ["txn_id", "timestamp", "user_id", "amount", "status", "chargeback_count"])
 _ask("ask_disconnected", "Find disconnected user-merchant relationships.", "SELECT complaint_id, user_id, merchant_id FROM link WHERE network_disconnected", ["complaint_id", "user_id", "merchant_id"])
@@ -209,8 +187,8 @@ _EDA_COLUMNS = "txn_id is_night is_weekend negative_amount_flag missing_utr_flag
 _add("eda_transactions", lambda t: eda.transaction_eda(t["transactions_cleaned"]).select(*_EDA_COLUMNS), f"SELECT {', '.join(_EDA_COLUMNS)} FROM e2".replace("minutes_since_prev_user_txn,", "round(minutes_since_prev_user_txn, 6) AS minutes_since_prev_user_txn,"), _EDA)
 _add("eda_top_signals", lambda t: eda.transaction_eda(t["transactions_cleaned"]).orderBy(F.col("transaction_signal_count").desc(), F.col("amount_abs").desc_nulls_last(), "txn_id").limit(30).select("txn_id", "amount", "transaction_signal_count"),
      "SELECT txn_id, amount, transaction_signal_count FROM e2 ORDER BY transaction_signal_count DESC, abs(amount) DESC NULLS LAST, txn_id LIMIT 30", _EDA)
-_SUM = "CAST(coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS DOUBLE)"
-_AVG = "round(CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(amount), 0), 6)"
+_SUM = "round(coalesce(fsum(amount), 0), 6)"
+_AVG = "round(round(fsum(amount), 6) / nullif(count(amount), 0), 6)"
 for _kind, _other in (("user", "merchant"), ("merchant", "user")):
     _add(f"eda_{_kind}_stats", lambda t, k=_kind: eda.group_stats(eda.transaction_eda(t["transactions_cleaned"]), k), f"""SELECT {_kind}_id, count(txn_id) AS {_kind}_transaction_count, {_SUM} AS {_kind}_total_amount, {_AVG} AS {_kind}_avg_amount,
         max(amount) AS {_kind}_max_amount, min(amount) AS {_kind}_min_amount, count(DISTINCT {_other}_id) AS {_kind}_unique_{_other}s, count(*) FILTER (negative_amount_flag) AS {_kind}_negative_txn_count,
@@ -234,7 +212,7 @@ _add("eda_merchants", lambda t: eda.merchant_eda(t["merchants_cleaned"]).select(
       + CAST(r > 1 + (n - 1) * 3 / 4.0 AS INT)] END AS ticket_size_band, age AS merchant_age_days, CAST(round_even(age / 30.4375, 0) AS BIGINT) AS merchant_age_months, quarter(onboarding_date) AS onboarding_quarter,
       mcc IS NULL AS missing_mcc, merchant_status = 'SUSPENDED' AND coalesce(declared_avg_ticket_size >= high, false) AS suspended_high_ticket_size,
       merchant_status = 'INACTIVE' AND coalesce(declared_avg_ticket_size >= high, false) AS inactive_high_ticket_size FROM mb""", _MERCHANT)
-_add("eda_category_tickets", lambda t: eda.category_tickets(t["merchants_cleaned"]), """SELECT merchant_category, count(declared_avg_ticket_size) AS "count", round(CAST(sum(CAST(declared_avg_ticket_size AS DECIMAL(18,2))) AS DOUBLE) / count(declared_avg_ticket_size), 6) AS mean,
+_add("eda_category_tickets", lambda t: eda.category_tickets(t["merchants_cleaned"]), """SELECT merchant_category, count(declared_avg_ticket_size) AS "count", round(round(fsum(declared_avg_ticket_size), 6) / count(declared_avg_ticket_size), 6) AS mean,
     round(median(declared_avg_ticket_size), 6) AS median FROM mch GROUP BY 1""")
 for _name, _largest in (("largest", True), ("smallest", False)):
     _add(f"eda_{_name}_tickets", lambda t, x=_largest: eda.extreme_tickets(t["merchants_cleaned"], largest=x), f"""SELECT merchant_id, merchant_name, merchant_category, declared_avg_ticket_size FROM mch WHERE declared_avg_ticket_size IS NOT NULL
@@ -261,17 +239,36 @@ QUERIES["legacy_variants"] = _legacy
 ORACLES["legacy_variants"] = """SELECT o_orderkey, 'TXN' || lpad(right(CAST(o_orderkey AS VARCHAR), 4), 4, '0') AS short_id, CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'OPEN' END AS label,
   -CAST(CAST(o_orderkey AS VARCHAR) || '5' AS DOUBLE) AS money, make_timestamp((900000000 + o_orderkey) * 1000000) AS moment, CAST(o_orderkey AS VARCHAR) AS mcc, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"""
 
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = legacy.labelled(raw_tables(spark, sf_dir)["chargebacks"])
+    return rows.select(F.trim("complaint_text").alias("note"), "reason_code", "resolution_status", "severity", "channel")
+
+
+QUERIES["legacy_labels"] = _labels
+ORACLES["legacy_labels"] = sql("""SELECT 'note ' || k AS note, CASE p % 7 WHEN 0 THEN 'DUPLICATE_DEBIT' WHEN 2 THEN 'ACCOUNT_TAKEOVER' WHEN 3 THEN 'SERVICE_NOT_PROVIDED' WHEN 4 THEN 'CUSTOMER_DISPUTE'
+  WHEN 5 THEN 'UNAUTHORIZED_TRANSACTION' END AS reason_code, CASE p % 6 WHEN 1 THEN 'IN_PROGRESS' WHEN 4 THEN 'REJECTED' END AS resolution_status, CASE p % 5 WHEN 1 THEN 'HIGH' END AS severity,
+  CAST(NULL AS VARCHAR) AS channel FROM cb0""")
+_add("legacy_chargeback_features", lambda t: legacy.chargeback_features_false(t["chargebacks_cleaned"]).select("complaint_id", "is_high_value_dispute", "bank_response_before_report_flag", "is_open_case"),
+     "SELECT complaint_id, coalesce(is_high_value_dispute, false) AS is_high_value_dispute, bank_response_before_report_flag, is_open_case FROM cbf")
+_add("legacy_report", lambda t: legacy.report(t["merchants_audit"], t["merchants_cleaned"], t["merchants_cleaned"]).drop("Rule_Applied"),
+     f'SELECT issue AS "Issue", "column" AS "Column", numerator AS "Rows_Affected", (SELECT count(*) FROM mch) AS "Before_Count", (SELECT count(*) FROM mch) AS "After_Count" FROM ({A.audit("merchants")})')
+
 # --- extensions: not in the surveyed pages ----------------------------------------------------------------------
-_add("ext_category_amounts", lambda t: R.category_amounts(t["merchants"]), """SELECT merchant_category, CAST(sum(CAST(total_transaction_value AS DECIMAL(18,2))) AS DOUBLE) AS amount, CAST(sum(CAST(chargeback_amount AS DECIMAL(18,2))) AS DOUBLE) AS disputed_amount,
+_add("ext_category_amounts", lambda t: R.category_amounts(t["merchants"]), """SELECT merchant_category, round(fsum(total_transaction_value), 6) AS amount, round(fsum(chargeback_amount), 6) AS disputed_amount,
     CAST(sum(transaction_count) AS BIGINT) AS transactions, CAST(sum(chargeback_count) AS BIGINT) AS chargebacks, round(CAST(sum(chargeback_count) AS DOUBLE) / nullif(sum(transaction_count), 0), 6) AS chargeback_ratio FROM merchants GROUP BY 1""")
 _add("ext_top_disputing_users", lambda t: R.top_disputing_users(t["users"]), "SELECT user_id, disputed_amount, chargeback_count FROM users ORDER BY disputed_amount DESC, user_id LIMIT 10")
 _add("ext_outcome_by_day", lambda t: R.outcome_by_day(t["transactions"]), f"""SELECT date_trunc('day', "timestamp")::TIMESTAMP AS day, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) FILTER (status = 'FAILED') AS failed, {_AVG} AS average_value
     FROM txn WHERE "timestamp" IS NOT NULL GROUP BY 1""")
 _add("ext_amount_by_kyc_status", lambda t: R.amount_by_kyc_status(t["transactions"]), f"SELECT latest_kyc_status, {_SUM} AS amount, count(*) AS transactions FROM rich GROUP BY 1")
-_add("ext_rates", lambda t: R.rates(t["transactions"], t["users"], t["linkage"]), None)
-_add("ext_merchant_spikes", lambda t: R.merchant_spikes(t["transactions"]), """SELECT * FROM (SELECT merchant_id, day, transactions, round(CAST(sum(transactions) OVER (PARTITION BY merchant_id) AS DOUBLE) / count(*) OVER (PARTITION BY merchant_id), 6) AS mean_daily
+_add("ext_rates", lambda t: R.rates(t["transactions"], t["users"], t["linkage"]), """
+    SELECT * FROM (SELECT round_even(100.0 * count(*) FILTER (status = 'FAILED') / count(*), 2) AS failed_rate, round_even(100.0 * count(*) FILTER (status = 'PENDING') / count(*), 2) AS pending_rate FROM txn),
+      (SELECT round_even(100.0 * count(*) FILTER (latest_kyc_status = 'VERIFIED') / count(latest_kyc_status), 2) AS kyc_completion_rate, round_even(100.0 * count(*) FILTER (latest_kyc_status = 'REJECTED') / count(latest_kyc_status), 2) AS kyc_rejection_rate FROM users),
+      (SELECT round(avg(reporting_delay_hours), 6) AS mean_reporting_delay_hours, count(*) FILTER (reporting_delay_hours > 168) AS reported_after_7_days FROM cbf)""")
+_add("ext_merchant_spikes", lambda t: R.merchant_spikes(t["transactions"], 2.0), """SELECT * FROM (SELECT merchant_id, day, transactions, round(CAST(sum(transactions) OVER (PARTITION BY merchant_id) AS DOUBLE) / count(*) OVER (PARTITION BY merchant_id), 6) AS mean_daily
     FROM (SELECT merchant_id, date_trunc('day', "timestamp")::TIMESTAMP AS day, count(*) AS transactions FROM txn WHERE "timestamp" IS NOT NULL AND merchant_id IS NOT NULL GROUP BY 1, 2))
-    WHERE transactions >= 3 * mean_daily""")
+    WHERE transactions >= 2 * mean_daily""")
 
 
 def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,3 +277,24 @@ def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["display_formats"] = _formats
+ORACLES["display_formats"] = """
+WITH c AS (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents FROM orders),
+  unit AS (SELECT *, CASE WHEN cents >= 100000000 THEN 10000000 WHEN cents >= 100000 THEN 10000 ELSE 100 END AS u FROM c),
+  even AS (SELECT *, cents // u + CAST(2 * (cents % u) > u OR (2 * (cents % u) = u AND (cents // u) % 2 = 1) AS BIGINT) AS q FROM unit)
+SELECT o_orderkey, CASE u WHEN 100 THEN format('{:,}', q) ELSE format('{:,}', q // 10) || '.' || (q % 10) || CASE u WHEN 10000 THEN 'K' ELSE 'M' END END AS short,
+  format('₹{:,.2f}', o_totalprice) AS money, strftime(o_orderdate, '%A') AS day_name FROM even"""
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = from_driver_tables(spark, sf_dir)
+    rows = eda.with_group_stats(eda.transaction_eda(t["transactions_cleaned"]))
+    return tidy(rows.select("txn_id", "user_transaction_count", "user_total_amount", "merchant_unique_users", "merchant_avg_amount", "user_merchant_txn_count", "user_merchant_total_amount"))
+
+
+QUERIES["eda_group_stats"] = _groups
+ORACLES["eda_group_stats"] = sql(f"""SELECT txn_id, user_transaction_count, user_total_amount, merchant_unique_users, merchant_avg_amount, user_merchant_txn_count, user_merchant_total_amount FROM txn
+  LEFT JOIN (SELECT user_id, count(txn_id) AS user_transaction_count, {_SUM} AS user_total_amount FROM txn WHERE user_id IS NOT NULL GROUP BY 1) USING (user_id)
+  LEFT JOIN (SELECT merchant_id, count(DISTINCT user_id) AS merchant_unique_users, {_AVG} AS merchant_avg_amount FROM txn WHERE merchant_id IS NOT NULL GROUP BY 1) USING (merchant_id)
+  LEFT JOIN (SELECT user_id, merchant_id, count(txn_id) AS user_merchant_txn_count, {_SUM} AS user_merchant_total_amount FROM txn WHERE user_id IS NOT NULL AND merchant_id IS NOT NULL GROUP BY 1, 2) USING (user_id, merchant_id)""")
+_add("merchant_value_table", lambda t: R.merchant_table(t["merchants"], by="total_transaction_value").select("merchant_id", "transaction_count", "total_transaction_value"), """SELECT merchant_id, transaction_count, total_transaction_value FROM merchants
+    WHERE transaction_count >= 1 AND investigation_priority IN ('WATCH', 'ELEVATED_REVIEW') ORDER BY total_transaction_value DESC, merchant_id LIMIT 300""")

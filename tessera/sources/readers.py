@@ -31,11 +31,15 @@ def _checked(load, path: str) -> DataFrame:
         raise
 
 
-def read_csv(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    """Every cell a string; an empty cell stays the empty string, as duplicates are judged on raw rows."""
+def read_csv(spark: SparkSession, path: str, dataset: str | None = None, multiline: bool = True) -> DataFrame:
+    """Every cell a string; an empty cell stays the empty string, as duplicates are judged on raw rows.
+
+    With ``multiline`` cells may hold line ends, and each file is read by one task. Files without such
+    cells are split among tasks with ``multiline=False``; large inputs should come so, or as many files.
+    """
 
     def load() -> DataFrame:
-        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
         return reader.option("inferSchema", False).csv(path)
 
     df = _checked(load, path).na.fill("")
@@ -43,9 +47,9 @@ def read_csv(spark: SparkSession, path: str, dataset: str | None = None) -> Data
     return require_columns(df, dataset) if dataset else df
 
 
-def read_json(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    """A JSON array (or lines); primitives as strings."""
-    df = _checked(lambda: spark.read.option("multiLine", True).option("primitivesAsString", True).json(path), path)
+def read_json(spark: SparkSession, path: str, dataset: str | None = None, lines: bool = False) -> DataFrame:
+    """A JSON array, one task a file, or with ``lines`` an object a line, split among tasks; primitives as strings."""
+    df = _checked(lambda: spark.read.option("multiLine", not lines).option("primitivesAsString", True).json(path), path)
     df = df.select(*[F.col(f"`{f.name}`").cast("string").alias(snake_case(f.name)) for f in df.schema.fields])
     return require_columns(df, dataset) if dataset else df
 
@@ -55,4 +59,4 @@ def all_string_schema(dataset: str) -> T.StructType:
 
 
 def read_raw(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    return read_json(spark, path, dataset) if path.endswith((".json", ".jsonl")) else read_csv(spark, path, dataset)
+    return read_json(spark, path, dataset, path.endswith(".jsonl")) if path.endswith((".json", ".jsonl")) else read_csv(spark, path, dataset)
