@@ -22,27 +22,47 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the divergence rules keep."""
+    """Documents that the base rules and the divergence rules keep.
+
+    Null, empty and blank texts have no words and go. Every row is judged for itself: repeated rows stay or go
+    together, nulls in other columns don't matter. No tie can arise.
+    """
     # packed and unpacked, so that the verdict isn't pushed into the scan and worked out once a reference
     judged = quality_rules(docs).select(F.explode(F.array(F.struct(*COLUMNS, "kept"))).alias("row"))
     return judged.where("row.kept").select(*[F.col(f"row.{c}").alias(c) for c in COLUMNS])
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Ids to be met by the texts: sent to them up to ``BROADCAST_IDS``, else joined by shuffle."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the smallest doc_id, one row of it."""
-    found = cut(near_duplicates(docs).select("doc_id", "kept"))
-    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    odd = cut(by_id.where("not _kept or _rows > 1"))
-    few = odd.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # sent to the texts only up to this size
-    marked = docs.join(F.broadcast(odd) if few else odd, "doc_id", "left")
-    single = marked.where("_rows is null").select(*COLUMNS)
-    # rows that repeat a doc_id are one group; a null doc_id is in none
-    repeated = marked.where("_kept and _rows > 1").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return single.unionByName(repeated.select("doc_id", "r.*").select(*COLUMNS))
+    """One document of each near-duplicate group: the smallest doc_id.
+
+    Rows without a doc_id, or that share one, are documents by their text: of those alike in doc_id and
+    text one row stays, different texts of one doc_id both stay unless they are near duplicates. Null and
+    blank texts are near duplicates of nothing. Ties in all else go by the smallest row.
+    """
+    again = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id"))
+    marked = docs.join(_sent(again.withColumn("_again", F.lit(True))), "doc_id", "left")
+    by_text = F.col("_again").isNotNull() | F.col("doc_id").isNull()
+    # above all ids, so that a real doc_id is the one that stays
+    own = F.lit(2**62) + F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))), F.lit(2**62))
+    noded = marked.withColumn("_node", F.when(by_text, own).otherwise(F.col("doc_id"))).withColumn("_again", by_text)
+    found = near_duplicates(noded.select(F.col("_node").alias("doc_id"), "text"))
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("_node")).distinct())
+    held = noded.join(_sent(gone), "_node", "left_anti")
+    alike = held.where("_again").groupBy("_node").agg(F.min(F.struct(*COLUMNS)).alias("r"))
+    return held.where("not _again").select(*COLUMNS).unionByName(alike.select("r.*").select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked; n_chars follows the text."""
+    """All documents, secrets masked; n_chars follows the text.
+
+    Null texts stay null; texts without a secret and all other columns stay as they are, null or not.
+    Overlapping spans are one mask. Every row is judged for itself, repeated ones alike.
+    """
     masked = redact(scan_secrets(docs))
     return masked.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -84,7 +104,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences and offsets."""
+    """Token pieces with their sequences and offsets.
+
+    Null and empty texts give the end id alone. Repeated rows, and rows without a doc_id, are packed each for
+    itself; pieces of one length are ordered by doc_id, piece and ids. Other columns are not read.
+    """
     return best_fit_pack(docs)
 
 
