@@ -1,6 +1,8 @@
 import collections
 import re
 
+from pyspark.sql import functions as F
+
 from tests.llm.test_operators import DOCS, EDGE, brute_components
 
 
@@ -37,6 +39,17 @@ def test_run_and_edges(spark, sf_dir, tmp_path):
             stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{len(rows)}-{k}")
 
 
+def test_near_dedup_keeps_different_texts_of_one_id(spark, sf_dir):
+    import corpus_pipeline as p
+
+    text = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, text("a"), "en", "s", 1, "x"), (1, text("b"), None, "s", 1, "x"), (1, text("b"), None, "s", 1, "x"), (2, text("b") + " z", "en", "s", 1, "x")]
+    rows += [(None, text("c"), "en", None, 1, "x"), (None, text("d"), "en", None, 1, "x"), (3, text("d"), None, None, None, "x"), (4, None, None, None, None, "x"), (4, "", None, None, None, "x")]
+    df = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"extra": "kept"}).withColumn("component_id", F.lit(1)).withColumn("_n", F.lit(1))
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in p.near_dedup(spark, df, sf_dir).collect())
+    assert got == sorted([(1, text("a")), (2, text("b") + " z"), (0, text("c")), (3, text("d")), (4, "")] + [(4, "")] * (len(got) - 5)) and len(got) in (5, 6)
+
+
 def test_mixing_writes_the_drawn_blocks(spark, sf_dir):
     import corpus_pipeline as p
     from tessera.llm import mixing
