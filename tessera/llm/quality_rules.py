@@ -164,7 +164,8 @@ def quality_rules(docs: DataFrame, refs: dict | None = None) -> DataFrame:
 
     Null text counts as empty: no words, base_failed. Without any reference (no document names a
     known language) the base rules decide alone. Every column of ``docs`` is kept but for names that
-    clash with these. No row is dropped; repeated rows get equal results.
+    clash with these, and ``_counts`` and ``_chars``, which are used inside. No row is dropped; repeated
+    rows get equal results; an empty table gives an empty result.
     """
     refs = language_references(docs) if refs is None else refs
     measured = base_measures(docs)

@@ -435,6 +435,58 @@ def test_divergence_matches_plain_formula(spark):
     assert math.isclose(row["word_distance"], min(want), abs_tol=1e-9)
 
 
+def test_quality_verdicts_match_brute_force(spark, sf_dir):
+    """References, both distances and the verdict of every document, from plain counts."""
+    import unicodedata
+
+    q = quality_rules
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+
+    def classes(t):
+        kinds = [" \t\n\x0b\x0c\r", "0123456789", "#*$%&|<>", "!", ".,;:?'\"()-"]
+        n = [sum(map(t.count, k)) for k in kinds] + [sum(unicodedata.category(c) == "Lu" for c in t)]
+        return [*n, len(t) - sum(n)]
+
+    def common(t):
+        return collections.Counter(w.lower() for w in WORD.findall(t) if w in q.SPELLINGS)
+
+    chars, words_, n = {}, collections.defaultdict(collections.Counter), collections.Counter()
+    for r in rows:
+        if r["lang"] in q.COMMON and r["text"] is not None:
+            chars[r["lang"]] = [a + b for a, b in zip(chars.get(r["lang"], [0] * 7), classes(r["text"]), strict=True)]
+            words_[r["lang"]].update(common(r["text"]))
+            n[r["lang"]] += len(WORD.findall(r["text"]))
+    shares = {k: [x / sum(c) for x in c] for k, c in chars.items()}
+    refs = {k: [words_[k][w] / n[k] for w in q.WORDS] for k in chars}
+    got = {r["doc_id"]: r for r in QUERIES["op6_quality_rules"](spark, sf_dir).collect()}
+    for r in rows:
+        t, g = r["text"] or "", got[r["doc_id"]]
+        c, own, m = classes(t), common(t), len(WORD.findall(t))
+        char = word = None
+        if g["word_chars"] >= q.MIN_CHARS:
+            char = min(q.js_distance([x / sum(c) for x in c], s) for s in shares.values())
+            assert math.isclose(g["char_distance"], char, abs_tol=1e-6)
+        if m >= q.MIN_COMMON:
+            mine = [own[w] / m for w in q.WORDS]
+            word = min(q.js_distance([*mine, 1 - sum(mine)], [*ref, 1 - sum(ref)]) for ref in refs.values())
+            assert math.isclose(g["word_distance"], word, abs_tol=1e-6)
+        char, word = char or 0.0, word or 0.0
+        near = char <= q.MAX_CHAR_DISTANCE and word <= q.MAX_WORD_DISTANCE and not (char > q.JOINT_CHAR and word > q.JOINT_WORD)
+        assert g["kept"] == (near and not g["base_failed"])
+
+
+def test_clashing_names(spark):
+    few = docs(spark, EDGE[:6])
+    mixed = lambda *names: few.withColumns({c: F.lit("q") for c in names})
+    packed = packing.best_fit_pack(mixed("piece", "length", "start", "bucket", "rank", "place", "first")).collect()
+    assert len(packed) == 6 and {r["start"] for r in packed} == {0}
+    ruled = quality_rules.quality_rules(mixed("n_words", "kept", "char_distance", "_counts", "w")).collect()
+    assert [r["n_words"] for r in ruled] == [0, 0, 0, 6, 6, 6] and {r["w"] for r in ruled} == {"q"}
+    model = language_crf.ChainModel(["de", "en"], np.zeros((1 << language_crf.BITS, 2)), np.zeros((2, 2)))
+    said = language_crf.identify_languages(mixed("held_out", "score", "lang_pred", "h"), model).collect()
+    assert len(said) == 6 and {r["lang_pred"] for r in said} == {"und", "de"}
+
+
 def test_quality_edges(spark):
     got = quality_rules.quality_rules(docs(spark)).collect()
     assert len(got) == len(EDGE) and got[0]["base_failed"] and got[0]["n_words"] == 0 and got[0]["extra"] == "x"
