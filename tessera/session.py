@@ -57,7 +57,8 @@ def settled(df: DataFrame) -> DataFrame:
     return done.coalesce(wanted) if wanted < parts else done
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if the session still lives."""
     with contextlib.suppress(Exception):  # the JVM may be gone
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -69,5 +70,5 @@ def cut_table(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove_path, spark, path)
     return spark.read.schema(df.schema).parquet(path)
