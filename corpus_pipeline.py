@@ -6,6 +6,7 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,7 +17,7 @@ from tessera.llm.packing import best_fit_pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secrets import redact, scan_secrets
 from tessera.llm.text import word_array
-from tessera.session import cut, ensure_checkpoint_dir
+from tessera.session import cut, ensure_checkpoint_dir, remove_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -125,12 +126,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read back."""
+    """All stages over ``documents``, each written to the shared folder and read back.
+
+    A stage's folder goes when the next one is written, the last when the program ends.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    atexit.register(remove_path, spark, folder)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before is not None:
+            remove_path(spark, before)
+        before = out
     return docs
