@@ -2,12 +2,15 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +164,61 @@ def test_packing_is_whole_and_exact(spark, corpus):
     assert packing.best_fit_pack(docs(spark, [])).count() == 0 and packing.best_fit_pack(docs(spark)).where("piece = 0").count() == len(EDGE)
 
 
+class Counted:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.seen = tok, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += sum(map(len, texts))
+        return self.tok.encode_batch_fast(texts, **options)
+
+
+def _ids_by_tokenizer(tok, texts):
+    return [np.array([*e.ids, 0], "<u4").tobytes() for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def _ids_by_encoder(enc, texts):
+    offsets, data = enc.encode(pa.array(texts, pa.string()), 0)
+    return [bytes(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def test_packing_merges_plain_words():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    letters = "aaeeinorstlhdmuzABZàéßÿÖØ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) + rng.choice(["", "", ".", ",", "!!", "$$$"]) for _ in range(20_000)]
+    words += [c * n for c in "azé" for n in (1, 2, 3, 31, 32, 62, 63, 64, 65, 200)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    odd = [None, "", " \n", "\x01 a\x01b", "it's <|endoftext|> IT'S <|ENDOFTEXT|>.", "e\u0301 \u0301e ÷× 12ab 漢字! a\x1cb a\u00a0b", "Σας İI ſ \ufb01"]
+    enc = packing.WordEncoder(packing.default_tokenizer())
+    enc.tok = Counted(enc.tok)
+    assert _ids_by_encoder(enc, texts) == _ids_by_tokenizer(Tokenizer.from_file(packing.default_tokenizer()), texts)
+    assert enc.tok.seen < sum(map(len, texts)) / 50  # only marks and words over 63 bytes are left to the tokenizer
+    assert _ids_by_encoder(enc, odd) == _ids_by_tokenizer(Tokenizer.from_file(packing.default_tokenizer()), odd)
+
+
+def test_packing_leaves_other_vocabularies_to_their_tokenizer(tmp_path):
+    from tokenizers import Tokenizer
+
+    config = json.loads(Path(packing.default_tokenizer()).read_text("utf-8"))
+    texts = ["The wheel's on, the Bus. underheitlichach quetaes!!", None, "ab.cd É"]
+    for k, change in enumerate(({"normalizer": {"type": "NFC"}}, {"added_tokens": [{**config["added_tokens"][0], "content": "wheel", "special": False}]}, {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, config["pre_tokenizer"]["pretokenizers"][1]]}})):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps({**config, **change}), "utf-8")
+        enc = packing.WordEncoder(str(path))
+        assert enc.merges is None and _ids_by_encoder(enc, texts) == _ids_by_tokenizer(Tokenizer.from_file(str(path)), texts)
+
+
+def test_packing_groups_hold_every_row():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 5, None, "b" * 30, "", "c" * 4, "d" * 6, None])], names=["doc_id", "text"])
+    groups = list(packing._groups(batch, 10))
+    assert [g["doc_id"].to_pylist() for g in groups] == [[0, 1], [2], [3, 4, 5, 6]]
+    assert list(packing._groups(batch.slice(0, 0))) == []
+
+
 def _best_count(sizes, capacity):
     """Fewest bins, by search."""
     best = len(sizes)
