@@ -65,6 +65,14 @@ def average(col: Column) -> Column:
     return F.try_divide(_sum(col), F.count(col).cast("double"))
 
 
+def quantile_or_zero(col: Column, q: float) -> Column:
+    """Interpolated quantile within a group, 0.0 over no values.
+
+    The buffer of a group holds its distinct values; ranks.exact_quantiles is for whole columns.
+    """
+    return F.coalesce(F.percentile(col, q), F.lit(0.0))
+
+
 def stable_values(col: Column) -> Column:
     """Sorted distinct non-empty values, joined."""
     return F.array_join(F.array_sort(F.collect_set(F.when(col != "", col))), " | ")

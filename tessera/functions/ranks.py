@@ -59,8 +59,13 @@ def with_global_rank(df: DataFrame, value: str, tie: list[str], out: str = "_ran
     return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("long")))
 
 
-def with_percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank of ties over the count of non-null values; null for null."""
+def with_percent_rank(df: DataFrame, value: str, *names: list[str] | str) -> DataFrame:
+    """Average rank of ties over the count of non-null values; null for null.
+
+    Names the new column last. Columns that order ties may stand before it; they change nothing, as
+    equal values share their average rank.
+    """
+    out = names[-1]
     total = df.agg(F.count(value)).scalar()
     ranks = counts_below(df, value).select(F.col("v").alias("_v"), ((F.col("upto") - (F.col("n") - 1) / 2) / total).alias(out))
     return df.join(ranks, F.col(value).cast("double") == F.col("_v"), "left").drop("_v")
@@ -72,7 +77,11 @@ def quartile_band(rank: Column, n: Column) -> Column:
     return F.when(rank.isNotNull(), F.element_at(F.array(*[F.lit(b) for b in BANDS]), over + 1))
 
 
-def zscore(value: Column, mean: Column, spread: Column) -> Column:
+def zscore(value: Column | str, mean: Column | str, spread: Column | None = None) -> Column:
+    """(value - mean) / spread, null where nothing varies; or, given a column and a group by name, that of the window."""
+    if spread is None:
+        group = Window.partitionBy(mean)
+        return zscore(F.col(value), F.avg(value).over(group), F.stddev_samp(value).over(group))
     return F.try_divide(value - mean, F.when(spread != 0, spread))
 
 
